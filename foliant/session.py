@@ -44,3 +44,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def stable_hash(*cols, seed: int = 0):
     """A 64-bit hash column, the same on every run and at every partitioning."""
     return F.xxhash64(F.lit(seed), *cols)
+
+
+#: Rows up to which a side of a join is broadcast after its size was counted.
+BROADCAST_ROWS = 50_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table with a broadcast hint if a count finds at most so many rows, else as it is (the join then shuffles)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
