@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import canonical, mixing, splitting, tokens
+from foliant.llm import canonical, mixing, residue, splitting, tokens, webspam
 from foliant.session import read_table
 
 
@@ -27,6 +27,19 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[0]
 
 
+def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.find_residue(residue.note_fields(read_table(spark, sf_dir, "note_blocks")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _residue(spark, sf_dir).select("block_no", "field_no")
+
+
+def p3_clean_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of all notes without those that hold residue."""
+    return residue.without_residue(read_table(spark, sf_dir, "note_blocks"), _residue(spark, sf_dir))
+
+
 def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
     items = splitting.all_items(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "tasks"))
     return splitting.split_items(items, read_table(spark, sf_dir, "size_limits"), with_text)
@@ -55,7 +68,13 @@ def p6_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "quote_checks").select("check_id", canonical.canonical_text(F.col("quote")).alias("quote"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webspam.find_spam(read_table(spark, sf_dir, "documents")).select("doc_id")
+
+
 QUERIES: dict = {
+    "p3_found": p3_found,
+    "p3_clean_fields": p3_clean_fields,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p6_found": p6_found,
@@ -64,6 +83,7 @@ QUERIES: dict = {
     "p7_ids": p7_ids,
     "p8_copies": p8_copies,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
 }
 ORACLES: dict = {
     "p4_found": """
