@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import canonical, mixing, residue, splitting, tokens, webspam
+from foliant.llm import canonical, mixing, residue, sentences, splitting, tokens, webspam
 from foliant.session import read_table
 
 
@@ -54,6 +54,18 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir, True)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence units of the sampled pages, whose language is at hand."""
+    sample = read_table(spark, sf_dir, "sentence_sample").select("page_id", "text_lang")
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "text").join(sample, "page_id")
+    return sentences.sentences(pages, lang_col="text_lang")
+
+
+def p5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence units of every page, with their text."""
+    return sentences.sentences(read_table(spark, sf_dir, "pages"), with_text=True)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.hidden_quotes(read_table(spark, sf_dir, "quote_checks"), read_table(spark, sf_dir, "pages"))
 
@@ -77,6 +89,8 @@ QUERIES: dict = {
     "p3_clean_fields": p3_clean_fields,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_sentences": p5_sentences,
     "p6_found": p6_found,
     "p6_texts": p6_texts,
     "p6_quotes": p6_quotes,
