@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import canonical, mixing, residue, sentences, splitting, tokens, webspam
+from foliant.llm import canonical, encodings, mixing, residue, sentences, splitting, tokens, webspam
 from foliant.session import read_table
 
 
@@ -27,6 +27,15 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[0]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encodings.wrongly_decoded(read_table(spark, sf_dir, "pages")).select("page_id")
+
+
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with their wrongly decoded passages restored where they can be."""
+    return encodings.wrongly_decoded(read_table(spark, sf_dir, "pages"))
+
+
 def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(residue.note_fields(read_table(spark, sf_dir, "note_blocks")))
 
@@ -85,6 +94,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict = {
+    "p1_found": p1_found,
+    "p1_restored": p1_restored,
     "p3_found": p3_found,
     "p3_clean_fields": p3_clean_fields,
     "p4_found": p4_found,
