@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import canonical, encodings, mixing, residue, sentences, splitting, tokens, webspam
+from foliant.llm import canonical, encodings, mixing, residue, scans, sentences, splitting, tokens, webspam
 from foliant.session import read_table
 
 
@@ -36,6 +36,16 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encodings.wrongly_decoded(read_table(spark, sf_dir, "pages"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scans.defects(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "books"))
+    return found.select("page_id", "line_no", "defect").distinct()
+
+
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Continuous paragraphs of the scanned pages."""
+    return scans.paragraphs(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "books"))
+
+
 def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(residue.note_fields(read_table(spark, sf_dir, "note_blocks")))
 
@@ -96,6 +106,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict = {
     "p1_found": p1_found,
     "p1_restored": p1_restored,
+    "p2_found": p2_found,
+    "p2_paragraphs": p2_paragraphs,
     "p3_found": p3_found,
     "p3_clean_fields": p3_clean_fields,
     "p4_found": p4_found,
