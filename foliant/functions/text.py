@@ -115,7 +115,7 @@ def garble_ratio(text: Column) -> Column:
     letters, latin1 = count_of(text, r"\p{L}"), count_of(text, r"[À-ÖØ-öø-ÿ]")
     foreign = F.when((letters >= 40) & (latin1 > letters * F.lit(0.3).cast("double")), latin1.cast("double") / letters / F.lit(2.0).cast("double")).otherwise(F.lit(0.0).cast("double"))
     glyphs = F.when(F.contains(text, F.lit("(cid:")), F.lit(0.05).cast("double")).otherwise(F.lit(0.0).cast("double"))
-    return F.coalesce(F.greatest(bad.cast("double") / length, glyphs, foreign), F.when(text.isNotNull(), F.lit(0.0).cast("double")))
+    return F.when(text.isNotNull(), F.coalesce(F.greatest(bad.cast("double") / length, glyphs, foreign), F.lit(0.0).cast("double")))
 
 
 def braces_balanced(text: Column) -> Column:

@@ -77,6 +77,11 @@ SCRIPTS = [
 ]
 
 
+def _listed(words: str):
+    known = words.split()
+    return lambda w: w.isin(*known)
+
+
 def language_vote(documents: DataFrame) -> DataFrame:
     """doc_id and language by script, else by votes of frequent words; English where nothing votes. Ties go to the earlier language of the list."""
     text = F.coalesce("text", F.lit(""))
@@ -85,8 +90,8 @@ def language_vote(documents: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]+"), 0)
     votes = []
     for i, (lang, stop) in enumerate(STOP_WORDS.items()):
-        listed = F.array(*[F.lit(w) for w in stop.split()])
-        votes.append(F.struct(F.size(F.filter(words, lambda w, listed=listed: F.array_contains(listed, w))).alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")))
+        n = F.size(F.filter(words, _listed(stop)))
+        votes.append(F.struct(n.alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")))
     vote = F.greatest(*votes)
     by_script = (best["n"] > 0) & (best["n"] * 2 > latin)
     return documents.select("doc_id", F.when(by_script, best["lang"]).when(vote["n"] > 0, vote["lang"]).otherwise("en").alias("language"))

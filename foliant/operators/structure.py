@@ -18,7 +18,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
 def line_core(line: Column) -> Column:
     """A line with its numbers and roman numerals levelled, as running lines differ in them only."""
     level = F.regexp_replace(tx.one_line(line), r"[0-9]+", "#")
-    return F.regexp_replace(level, r"(?i)\b[ivxlc]+\b", "#")
+    return F.regexp_replace(level, r"(^|[^\p{L}\p{N}])[ivxlcIVXLC]+($|[^\p{L}\p{N}])", "$1#$2")
 
 
 def running_lines(pages: DataFrame, least: int = 3, share: float = 0.2) -> DataFrame:

@@ -40,9 +40,10 @@ def shingle_candidates(texts: DataFrame, text_id: str, text_key: str, probes: Da
     """
     gram = F.xxhash64(F.substring(probe_key, 1, size))
     p = probes.where(F.char_length(probe_key) >= size).select(probe_id, gram.alias("__gram"))
-    grams = F.transform(F.sequence(F.lit(1), F.char_length(text_key) - size + 1), lambda i: F.xxhash64(F.substring(F.col(text_key), i, F.lit(size))))
+    # a look-ahead gives overlapping grams in one pass; substring() by place would walk the text again for each
+    grams = F.transform(F.array_distinct(F.regexp_extract_all(text_key, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)), F.xxhash64)
     wanted = p.select("__gram").distinct()
-    t = texts.where(F.char_length(text_key) >= size).select(text_id, F.explode(F.array_distinct(grams)).alias("__gram"))
+    t = texts.where(F.char_length(text_key) >= size).select(text_id, F.explode(grams).alias("__gram"))
     return t.join(wanted, "__gram", "left_semi").join(p, "__gram").select(text_id, probe_id).distinct()
 
 
