@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from foliant.functions import numbers as nb
 from foliant.functions import text as tx
-from foliant.plans.shapes import shingle_candidates, top_k
+from foliant.plans.shapes import contained_pairs, top_k
 
 #: Least length of a key that is looked for in the whole book.
 ELSEWHERE_CHARS = 12
@@ -48,9 +48,8 @@ def quote_status(checks: DataFrame, pages: DataFrame, least_words: int = 4) -> D
     start = F.instr(F.concat("key", F.coalesce("spill", F.lit(""))), F.col("qkey"))
     exact = here.where((start > 0) & (start <= F.char_length("key"))).select("check_id").distinct()
     left = rest.join(exact, "check_id", "left_anti")
-    pairs = shingle_candidates(keys, "page_id", "key", left, "check_id", "qkey", ELSEWHERE_CHARS)
-    hits = pairs.join(left.select("check_id", "book", "qkey"), "check_id").join(keys.select("page_id", F.col("book").alias("its_book"), "page_index", "key"), "page_id")
-    hits = hits.where((F.col("book") == F.col("its_book")) & F.contains("key", "qkey"))
+    pairs = contained_pairs(keys, "page_id", "key", left, "check_id", "qkey", ELSEWHERE_CHARS)
+    hits = pairs.join(left.select("check_id", "book"), "check_id").join(keys.select("page_id", "book", "page_index"), ["page_id", "book"])
     found = hits.groupBy("check_id").agg(F.slice(F.array_sort(F.collect_set("page_index")), 1, 3).alias("pages"))
     wrong = found.select("check_id", F.lit("wrong-page").alias("status"), "pages")
     missing = left.join(found, "check_id", "left_anti").select("check_id", F.lit("not-found").alias("status"), none.alias("pages"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def hash_uniform(*cols: Column, seed: int = 0) -> Column:
@@ -41,12 +42,53 @@ def shingle_candidates(texts: DataFrame, text_id: str, text_key: str, probes: Da
     gram = F.xxhash64(F.substring(probe_key, 1, size))
     p = probes.where(F.char_length(probe_key) >= size).select(probe_id, gram.alias("__gram"))
     # a look-ahead gives overlapping grams in one pass; substring() by place would walk the text again for each
-    grams = F.transform(F.array_distinct(F.regexp_extract_all(text_key, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)), F.xxhash64)
+    grams = F.transform(F.array_distinct(F.regexp_extract_all(text_key, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)), lambda g: F.xxhash64(g))
     wanted = p.select("__gram").distinct()
     t = texts.where(F.char_length(text_key) >= size).select(text_id, F.explode(grams).alias("__gram"))
     return t.join(wanted, "__gram", "left_semi").join(p, "__gram").select(text_id, probe_id).distinct()
 
 
+#: Probes up to which one automaton in every task holds them all.
+AUTOMATON_PROBES = 50_000
+
+
+def contained_pairs(texts: DataFrame, text_id: str, text_key: str, probes: DataFrame, probe_id: str, probe_key: str, size: int = 12) -> DataFrame:
+    """All pairs in which the text's key holds the probe's key, for probes of at least `size` characters.
+
+    Up to AUTOMATON_PROBES probes, which are counted first, every task runs one Aho-Corasick automaton of them over its texts, without any shuffle of the
+    texts; more of them meet the texts by a join on shingles. Both ways give the same pairs.
+    """
+    p = probes.where(F.char_length(probe_key) >= size).select(probe_id, probe_key)
+    patterns = [tuple(r) for r in p.limit(AUTOMATON_PROBES + 1).collect()]
+    t = texts.where(F.char_length(text_key) >= size).select(text_id, text_key)
+    if len(patterns) > AUTOMATON_PROBES:
+        pairs = shingle_candidates(texts, text_id, text_key, probes, probe_id, probe_key, size)
+        both = pairs.join(p, probe_id).join(t, text_id)
+        return both.where(F.contains(text_key, probe_key)).select(text_id, probe_id)
+    shared = t.sparkSession.sparkContext.broadcast(patterns)
+    schema = T.StructType([t.schema[text_id], p.schema[probe_id]])
+
+    def search(batches):
+        import ahocorasick
+        import pandas as pd
+
+        ids: dict[str, list] = {}
+        for i, key in shared.value:
+            ids.setdefault(key, []).append(i)
+        automaton = ahocorasick.Automaton()
+        for key in ids:
+            automaton.add_word(key, key)
+        automaton.make_automaton()
+        for pdf in batches:
+            rows = []
+            if ids:
+                for owner, text in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]):
+                    rows += [(owner, i) for key in {k for _, k in automaton.iter(text)} for i in ids[key]]
+            yield pd.DataFrame(rows, columns=[text_id, probe_id])
+
+    return t.mapInPandas(search, schema)
+
+
 def range_join(points: DataFrame, ranges: DataFrame, keys: list[str], point: str, first: str, last: str) -> DataFrame:
     """Points with the ranges of their key that hold them (both ends included), by an equi-join on buckets of values.
 

@@ -149,7 +149,7 @@ def page_quality_flags(spark, sf):
     return structure.page_flags(read_table(spark, sf, "pages"))
 
 
-_CORE = r"regexp_replace(regexp_replace(trim(regexp_replace(line, '\s+', ' ', 'g')), '[0-9]+', '#', 'g'), '(^|[^\p{L}\p{N}])[ivxlcIVXLC]+($|[^\p{L}\p{N}])', '\1#\2', 'g')"
+_CORE = r"regexp_replace(regexp_replace(trim(regexp_replace(line, '\s+', ' ', 'g'), ' '), '[0-9]+', '#', 'g'), '(^|[^\p{L}\p{N}])[ivxlcIVXLC]+($|[^\p{L}\p{N}])', '\1#\2', 'g')"
 _LINES = r"lines AS (SELECT page_id, book, page_index, i - 1 AS line_no, l[i] AS line FROM (SELECT page_id, book, page_index, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM pages WHERE text IS NOT NULL))"
 _RUNNING = rf"""
 filled AS (SELECT * FROM pages WHERE text IS NOT NULL AND regexp_matches(text, '[^ \n\t\r]')),
@@ -218,7 +218,7 @@ def foot_notes(spark, sf):
 @query(
     rf"""WITH {_LINES}, h AS (SELECT book, page_index, page_id, line_no, regexp_extract(line, '^\s*(Figure|Fig\.|Table|Tab\.|Abbildung|Abb\.|Tabelle)\s+([0-9]+(?:\.[0-9]+)*)\s+(.*)$', ['k', 'n', 'c']) AS m FROM lines
   WHERE regexp_matches(line, '^\s*(Figure|Fig\.|Table|Tab\.|Abbildung|Abb\.|Tabelle)\s+([0-9]+(?:\.[0-9]+)*)\s+(.*)$')),
-f AS (SELECT book, page_index, page_id, CASE WHEN regexp_matches(m.k, '^(Tab|Table)') THEN 'TAB-' ELSE 'FIG-' END || m.n AS figure, trim(regexp_replace(m.c, '\s+', ' ', 'g')) AS caption, line_no FROM h)
+f AS (SELECT book, page_index, page_id, CASE WHEN regexp_matches(m.k, '^(Tab|Table)') THEN 'TAB-' ELSE 'FIG-' END || m.n AS figure, trim(regexp_replace(m.c, '\s+', ' ', 'g'), ' ') AS caption, line_no FROM h)
 SELECT book, page_index, page_id, figure, caption FROM (SELECT *, row_number() OVER (PARTITION BY book, figure ORDER BY page_index NULLS FIRST, page_id, line_no) AS r FROM f) WHERE r = 1"""
 )
 def captions(spark, sf):
@@ -257,7 +257,7 @@ def joined_line_ends(spark, sf):
 
 @query(
     r"""
-WITH q AS (SELECT check_id, book, page_index, regexp_replace(lower(coalesce(quote, '')), '[^\p{L}\p{N}]', '', 'g') AS k, len(regexp_extract_all(trim(regexp_replace(coalesce(quote, ''), '\s+', ' ', 'g')), '\S+')) AS words,
+WITH q AS (SELECT check_id, book, page_index, regexp_replace(lower(coalesce(quote, '')), '[^\p{L}\p{N}]', '', 'g') AS k, len(regexp_extract_all(trim(regexp_replace(coalesce(quote, ''), '\s+', ' ', 'g'), ' '), '\S+')) AS words,
   len(regexp_extract_all(coalesce(quote, ''), '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]')) AS wide FROM quote_checks),
 known AS (SELECT DISTINCT book, page_index FROM pages WHERE page_index IS NOT NULL),
 j AS (SELECT q.*, known.book IS NOT NULL AS cited, (words >= 4 AND length(k) >= 12) OR (wide * 2 > length(k) AND length(k) >= 8) AS enough FROM q LEFT JOIN known ON q.book = known.book AND q.page_index = known.page_index),
@@ -312,7 +312,7 @@ def term_first_use(spark, sf):
 
 
 _DEFS = " UNION ALL ".join(
-    f"SELECT page_id, book, page_index, trim(regexp_replace(term, '\\s+', ' ', 'g')) AS term FROM (SELECT page_id, book, page_index, unnest(regexp_extract_all(text, '{p}', 1)) AS term FROM pages WHERE text IS NOT NULL)"
+    f"SELECT page_id, book, page_index, trim(regexp_replace(term, '\\s+', ' ', 'g'), ' ') AS term FROM (SELECT page_id, book, page_index, unnest(regexp_extract_all(text, '{p}', 1)) AS term FROM pages WHERE text IS NOT NULL)"
     for p in inventory.DEFINING.values()
 )
 _FIRSTS = (
@@ -383,7 +383,7 @@ def item_stars(spark, sf):
     return both.select("book", "key", F.least(F.lit(3), F.col("stars") + (F.col("uses") > 1).cast("int")).alias("stars"))
 
 
-_FIELDS = r"f AS (SELECT block_no, kind, i - 1 AS field_no, regexp_replace(lower(trim(regexp_replace(fields[i].key, '\s+', ' ', 'g'))), '\s*_\s*', '-', 'g') AS key, fields[i].value AS value FROM (SELECT block_no, kind, fields, unnest(range(1, len(fields) + 1)) AS i FROM note_blocks))"
+_FIELDS = r"f AS (SELECT block_no, kind, i - 1 AS field_no, regexp_replace(lower(trim(regexp_replace(fields[i].key, '\s+', ' ', 'g'), ' ')), '\s*_\s*', '-', 'g') AS key, fields[i].value AS value FROM (SELECT block_no, kind, fields, unnest(range(1, len(fields) + 1)) AS i FROM note_blocks))"
 
 
 @query(f"WITH {_FIELDS} SELECT kind, key, count(*) AS n, count(value) AS filled FROM f GROUP BY ALL")
