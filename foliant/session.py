@@ -53,3 +53,14 @@ BROADCAST_ROWS = 50_000
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The table with a broadcast hint if a count finds at most so many rows, else as it is (the join then shuffles)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Put the folder that holds this package on the path of Python workers, where it is there too (local mode, shared folders).
+
+    On other clusters the package is installed on the workers or handed to spark-submit with --py-files.
+    """
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (home, known) if x)
