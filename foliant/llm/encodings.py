@@ -213,6 +213,14 @@ def _level_one(ch: str) -> bool:
     return 0xB0 <= lead <= 0xD7 or 0xA1 <= lead <= 0xA5
 
 
+def _level_one_japanese(ch: str) -> bool:
+    """A frequent Japanese character: kana, marks and the first level of the national standard."""
+    try:
+        return 0x81 <= ch.encode("cp932")[0] <= 0x98
+    except UnicodeEncodeError:
+        return False
+
+
 def _double_byte(line: str) -> list[tuple[int, int, str]]:
     """Spans of a double-byte encoding of Chinese or Japanese that were read as a Western one."""
     if not _HIGH_RUN.search(line):
@@ -222,6 +230,7 @@ def _double_byte(line: str) -> list[tuple[int, int, str]]:
     score = 0.0
     for was in ("gb18030", "cp932", "euc_jp"):
         found, good, total = [], 0, 0
+        frequent = _level_one if was == "gb18030" else _level_one_japanese
         for m in _automaton(was).finditer(raw):
             if sum(ord(c) > 0x7F for c in m.group()) < 4:
                 continue
@@ -230,7 +239,7 @@ def _double_byte(line: str) -> list[tuple[int, int, str]]:
             except UnicodeDecodeError:
                 continue
             wide = [c for c in back if ord(c) > 0x7F]
-            fine = sum(("぀" <= c <= "ヿ" or _level_one(c) and not 0x0370 <= ord(c) < 0x0460 or c in "µ³²°·−Å×") and not 0xFF61 <= ord(c) < 0xFFA0 for c in wide)
+            fine = sum(("぀" <= c <= "ヿ" or frequent(c) and not 0x0370 <= ord(c) < 0x0460 or c in "µ³²°·−Å×") and not 0xFF61 <= ord(c) < 0xFFA0 for c in wide)
             if len(wide) >= 2 and fine >= 0.85 * len(wide) and (any("一" <= c <= "鿿" or "぀" <= c <= "ヿ" for c in wide)):
                 found.append((m.start(), m.end(), back))
                 good += fine
@@ -340,7 +349,11 @@ def _latin_words(line: str) -> list[tuple[int, int, str]]:
     oddness = {m.start(): _oddness(m.group()) for m in words}
     if not any(oddness.values()):
         return []
+    cyrillic = sum(c in UNLIKE for c in line)
+    mixed = cyrillic > 0.25 * sum(c.isascii() and c.isalpha() for c in line)  # Cyrillic with look-alike letters
     for read_as, was in LATIN_PAIRS:
+        if mixed and read_as in _CYRILLIC_READ:
+            continue
         table = _recode(read_as, was)
         found, doubtful, weight, spoiled, certain = [], [], 0.0, 0, 0
         for m in words:
@@ -429,7 +442,7 @@ def _apply(line: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 _SAFE = regex.compile(r"[^\x00-\x7f\xa0\xad\u2002\u2007\u2009\u200b-\u200d\u202f\u2060\ufeffäöüßÄÖÜéèêëàâîïôùûçœáíóúñ¿¡’‘“”„«»–—…•°·−ΩµÅ²³]")
-_CAPITAL_INSIDE = regex.compile(r"\p{Ll}[À-ÖØ-Þ]|[\p{Ll}\p{Lu}]„\p{Ll}|[a-z][«»²³°·…•][a-z]|[²³][a-z]|\s[²³·°…]\p{Ll}{2}")
+_CAPITAL_INSIDE = regex.compile(r"â[?€]|\p{Ll}[À-ÖØ-Þ]|[\p{Ll}\p{Lu}]„\p{Ll}|[a-z][«»²³°·…•][a-z]|[²³][a-z]|\s[²³·°…]\p{Ll}{2}")
 
 
 def repair_line(line: str) -> tuple[str, bool]:

@@ -25,7 +25,7 @@ SLOT_NAMES = 3
 _NAME = r"(?P<name>[A-Za-z][\w.]{0,30})"
 #: Ways to write a variable, as (opening, closing); the name stands between.
 MARKS = [
-    (r"\{\{\s*", r"(?:\s*\|[^{}]*)?\s*\}\}"),
+    (r"(?<![\\^_}])\{\{\s*", r"(?:\s*\|[^{}]*)?\s*\}\}"),
     (r"\{%-?\s*(?:if|for|block|include|set)\s+", r"\b[^%]*%\}(?:.*?\{%-?\s*end\w+\s*-?%\})?"),
     (r"\$\{\s*", r"\s*\}"),
     (r"<%=?\s*", r"\s*%>"),

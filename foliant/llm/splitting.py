@@ -126,6 +126,7 @@ def split_items(items: DataFrame, limits: DataFrame, with_text: bool = True) ->
     within it, give no row. Repeated items come out as often as they came in; empty tables give an empty result; other columns are not read.
     """
     name = lambda c: F.lower(F.trim(c))
+    items = items.select("item_kind", "item_id", "read_no", "tier", "text")
     bound = (
         limits.where("max_chars > 0")
         .groupBy(name(limits["item_kind"]).alias("item_kind"), name(limits["tier"]).alias("__tier"))
