@@ -38,7 +38,7 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("sep", "\t").csv(str(tmp_path / "deck")).count() == 2
     sinks.write_jsonl(df, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
-    events = spark.createDataFrame([("u1", "2026-10-01", "Learn\; heat, " + "größe " * 20)], "uid string, date string, title string").withColumn("date", F.to_date("date"))
+    events = spark.createDataFrame([("u1", "2026-10-01", "Learn; heat, " + "größe " * 20)], "uid string, date string, title string").withColumn("date", F.to_date("date"))
     text = sinks.calendar(events)
-    assert "DTSTART;VALUE=DATE:20261001" in text and "Learn\; heat\\," in text
+    assert "DTSTART;VALUE=DATE:20261001" in text and "Learn\\; heat\\," in text
     assert all(len(x.encode()) <= 75 for x in text.split("\r\n"))
