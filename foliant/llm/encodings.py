@@ -254,19 +254,26 @@ def _double_byte(line: str) -> list[tuple[int, int, str]]:
 _VOWELS = set("аеиоуыэюяёАЕИОУЫЭЮЯЁ")
 
 
+_ALPHABETS = (regex.compile(f"[{''.join(RUSSIAN)}]"), regex.compile(f"[{''.join(ARABIC)}]"))
+_HIGH_LETTER = regex.compile(r"[\x00-\x7f«»“”„–—…•’\xad\xa0]")
+
+
 def _script_words(line: str) -> list[tuple[int, int, str]]:
     """Words of Cyrillic or Arabic letters in a single-byte encoding that were read as another one."""
     if not _ODD_SCRIPT.search(line):
         return []
     words = [m for m in _WORD.finditer(line) if not m.group().isascii() and not _ASCII_LETTER.search(m.group())]
+    sample = _HIGH_LETTER.sub("", "".join(m.group() for m in words))
     best: tuple[float, list[tuple[int, int, str]]] = (0.0, [])
     for read_as, was in SCRIPT_PAIRS:
         table = _recode(read_as, was)
         alphabet = ARABIC if was in ("cp1256", "iso8859_6") else RUSSIAN
+        if len(_ALPHABETS[was in ("cp1256", "iso8859_6")].findall(sample.translate(table))) < 0.6 * len(sample):
+            continue
         found, doubtful, gain, strong = [], [], 0.0, 0
         for m in words:
             word = m.group()
-            back = "".join(table.get(ord(c), c) if ord(c) > 0x7F else c for c in word)
+            back = word.translate(table)
             letters = [c for c in back if ord(c) > 0x7F and (c.isalpha() or c in ARABIC)]
             old = [c for c in word if ord(c) > 0x7F and c not in "«»“”„–—…•­"]
             if all(c in LOOK_ALIKE for c in old):
@@ -296,7 +303,7 @@ def _script_words(line: str) -> list[tuple[int, int, str]]:
 
 
 _ODD_SCRIPT = regex.compile(
-    r"(?<![A-Za-z])[À-ÿ¸¨³¿ºª-]{3}|[а-яё][А-ЯЁ]|[ЀЂ-ЏѐђѓєѕіїјљњћќѝўџҐґ]|[─-▟]|[ɐ-ʯ]|(?<!\S)[À-ÿ]{2}(?!\S)"
+    r"(?<![A-Za-z])[À-ÿ¸¨³¿ºª-]{3}|[а-яё][А-ЯЁ]|[ЀЂЃЄЇЉЊЋЌЍЎЏѐђѓєїљњќћѝўџҐґ]|[─-▟]|[ɐ-ʯ]|(?<!\S)[À-ÿ]{2}(?!\S)"
 )
 
 
@@ -361,7 +368,7 @@ def _latin_words(line: str) -> list[tuple[int, int, str]]:
             high = [c for c in word if ord(c) > 0x7F]
             if not any(ord(c) in table for c in high):
                 continue
-            back = "".join(table.get(ord(c), c) if ord(c) > 0x7F else c for c in word)
+            back = word.translate(table)
             fit = all(c in LATIN or c in SIGNS for c in back if ord(c) > 0x7F)
             letters = [c for c in back if c.isalpha()]
             strength = oddness[m.start()]
@@ -445,11 +452,22 @@ _SAFE = regex.compile(r"[^\x00-\x7f\xa0\xad\u2002\u2007\u2009\u200b-\u200d\u202f
 _CAPITAL_INSIDE = regex.compile(r"â[?€]|\p{Ll}[À-ÖØ-Þ]|[\p{Ll}\p{Lu}]„\p{Ll}|[a-z][«»²³°·…•][a-z]|[²³][a-z]|\s[²³·°…]\p{Ll}{2}")
 
 
+_PLAIN_LINE = regex.compile(
+    r"[\x00-\x7f\xa0\xad\u2002\u2007\u2009\u200b-\u200d\u202f\u2060\ufeffäöüßÄÖÜéèêëàîïôùûçœáíóúñ¿¡’‘“”„«»–—…•°·−ΩµÅ²³‐‑"
+    r"а-яёА-ЯЁѕіјԁһѵΑ-ω\u0600-\u06ff\u0900-\u097f\u0e00-\u0e7f\u3000-\u30ff\u4e00-\u9fff\uff01-\uff5eﬀ-ﬄ\u0300-\u0308⼀-⿟]+"
+)
+_GLUED = regex.compile(f"[A-Za-z][{''.join(sorted(UNLIKE))}ΣσφδεταΓΘΦπ]|[{''.join(sorted(UNLIKE))}ΣσφδεταΓΘΦπ][A-Za-z]|(?:^|\\s)[α](?:\\s|$)")
+
+
 def repair_line(line: str) -> tuple[str, bool]:
     """A line with its wrongly decoded passages restored, and whether it had any."""
     if line.isascii() or not (_SAFE.search(line) or _CAPITAL_INSIDE.search(line)):
         return line, False
     wrong = False
+    if _PLAIN_LINE.fullmatch(line) and not (_ODD_SCRIPT.search(line) or _GLUED.search(line) or _CAPITAL_INSIDE.search(line)):
+        # nothing but letters of the ten languages in good order; Chinese and Japanese may still be another reading of UTF-8
+        spans = _wide_read(line) if any("⺀" <= c <= "鿿" for c in line) else []
+        return (_apply(line, spans), True) if spans else (line, False)
     for _ in range(ROUNDS):
         spans_of = (_utf8_spans(line, r) for r in READ_AS) if _any_pair().search(line) else ()
         options = [(sum(e - s for s, e, _ in f), f) for f in spans_of if f]
