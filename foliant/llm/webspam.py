@@ -59,7 +59,8 @@ _SEPARATOR = regex.compile(r"\s+[|»·•>–—/~*\-]+\s+|[|»·•～]|[,;:，
 _STRONG = regex.compile(r"\s[|»·>/~]\s|[|»·]")
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}'’-]*")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
-_THAI = regex.compile(r"[\p{Thai}\p{M}]")
+_THAI_RUN = regex.compile(r"\p{Thai}[\p{Thai}\p{M}]*")
+_UNSPACED = regex.compile(r"[\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}]")
 
 
 @dataclass(frozen=True)
@@ -87,11 +88,11 @@ class Limits:
 
 def _words_in(segment: str, limits: Limits) -> float:
     """Number of words; scripts without spaces count by characters."""
-    if segment.isascii():
-        return len(_WORDS.findall(segment))
-    cjk, thai = len(_CJK.findall(segment)), len(_THAI.findall(segment)) if regex.search(r"\p{Thai}", segment) else 0
-    spaced = _CJK.sub(" ", segment) if cjk else segment
-    spaced = regex.sub(r"\p{Thai}[\p{Thai}\p{M}]*", " ", spaced) if thai else spaced
+    if not _UNSPACED.search(segment):
+        return len(segment.split()) if segment.isascii() else len(_WORDS.findall(segment))
+    cjk = len(_CJK.findall(segment))
+    thai = sum(map(len, _THAI_RUN.findall(segment)))
+    spaced = _THAI_RUN.sub(" ", _CJK.sub(" ", segment))
     return cjk / limits.cjk_word + thai / limits.thai_word + len(_WORDS.findall(spaced))
 
 
@@ -100,8 +101,8 @@ def keyword_density(text: str) -> tuple[float, float]:
 
     Four characters of Chinese and Japanese and ten of Thai stand for such a phrase. Numbers are no words.
     """
-    thai_runs = regex.findall(r"\p{Thai}[\p{Thai}\p{M}]*", text) if regex.search(r"\p{Thai}", text) else []
-    spaced = regex.sub(r"\p{Thai}[\p{Thai}\p{M}]*", " ", text) if thai_runs else text
+    thai_runs = _THAI_RUN.findall(text)
+    spaced = _THAI_RUN.sub(" ", text) if thai_runs else text
     words = [w for w in _WORDS.findall(_CJK.sub(" ", spaced).casefold()) if not w.isdecimal()]
     covered = [0.0]
     if words:
@@ -118,19 +119,26 @@ def keyword_density(text: str) -> tuple[float, float]:
 
 def _dense(text: str, limits: Limits) -> bool:
     """One keyword phrase over and over, be it within sentences."""
+    parts = text.casefold().split()
+    sales = len(_SALES.findall(text)) >= 2
+    # a phrase that covers a share of the words leaves at most the rest of them, and itself, distinct
+    share = limits.keyword_density if sales else limits.bare_density
+    if len(set(parts)) > (1 - share) * len(parts) + 6 and not _UNSPACED.search(text):
+        return False
     words, density = keyword_density(text)
     if words >= limits.dense_words // 3 and density >= limits.bare_density:
         return True
-    return words >= limits.dense_words and density >= limits.keyword_density and len(_SALES.findall(text)) >= 2
+    return sales and words >= limits.dense_words and density >= limits.keyword_density
 
 
 def _bare_string(text: str, limits: Limits) -> bool:
     """A string of keywords without separators: many sales phrases, hardly a word that joins others."""
-    words = [w.casefold() for w in _WORDS.findall(text)]
-    if _words_in(text, limits) < limits.bare_words:
+    total = _words_in(text, limits)
+    if total < limits.bare_words or len(_SALES.findall(text)) < limits.sales_share * total:
         return False
+    words = [w.casefold() for w in _WORDS.findall(text)]
     joiners = sum(w in _JOINERS for w in words) / max(1, len(words))
-    return len(_SALES.findall(text)) >= limits.sales_share * _words_in(text, limits) and joiners < 2 * limits.joiner_share
+    return joiners < 2 * limits.joiner_share
 
 
 def _stuffed(text: str, limits: Limits) -> bool:
@@ -138,8 +146,11 @@ def _stuffed(text: str, limits: Limits) -> bool:
     segments = [s for s in (x.strip() for x in _SEPARATOR.split(text)) if s]
     if len(segments) < limits.segments:
         return _bare_string(text, limits)
+    if len(text.split()) > 3 * limits.segment_words * len(segments) and not _UNSPACED.search(text):
+        return _bare_string(text, limits)
+    segments = [s for s in segments if len(s) > 1 or not s.isascii()]  # labels as in Q: and A: are no segments
     named = [s for s in segments if _WORDS.search(s) and not s.replace(" ", "").isdecimal()]
-    if len(named) < limits.alpha_share * len(segments):
+    if len(named) < limits.alpha_share * len(segments) or len(named) < limits.segments:
         return False
     sizes = [_words_in(s, limits) for s in named]
     long = sum(sizes) / len(sizes) > limits.segment_words
@@ -169,15 +180,17 @@ def _stuffed(text: str, limits: Limits) -> bool:
 
 def line_kind(line: str, limits: Limits = Limits()) -> str | None:
     """link, tags, product or keywords for a line of spam, else null."""
-    bare = len(regex.sub(r"\s", "", line))
+    bare = len("".join(line.split()))
     if not bare:
         return None
-    links = [m.group() for m in _LINK.finditer(line)]
-    if links and sum(len(regex.sub(r"\s", "", x)) for x in links) >= limits.link_share * bare:
-        return "link"
-    tags = _TAG.findall(line)
-    if len(tags) >= 3 and len(tags) >= limits.tag_share * len(line.split()):
-        return "tags"
+    if "http" in line or "www." in line or "](" in line or "<" in line:
+        links = [m.group() for m in _LINK.finditer(line)]
+        if links and sum(len("".join(x.split())) for x in links) >= limits.link_share * bare:
+            return "link"
+    if "#" in line:
+        tags = _TAG.findall(line)
+        if len(tags) >= 3 and len(tags) >= limits.tag_share * len(line.split()):
+            return "tags"
     if sum(bool(p.search(line)) for p in _PRODUCT) >= 2:
         return "product"
     return "keywords" if _stuffed(line, limits) or _dense(line, limits) else None
