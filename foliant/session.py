@@ -64,3 +64,12 @@ def let_workers_import(spark: SparkSession) -> None:
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if home not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (home, known) if x)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A freshly read table in at least as many partitions as there are cores.
+
+    A small file is one task however many cores wait; its rows are dealt out once, while tables of many files stay as they are read.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= min(cores, 8) else table.repartition(cores)
