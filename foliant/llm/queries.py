@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import canonical, encodings, mixing, residue, scans, sentences, splitting, tokens, webspam
-from foliant.session import read_table
+from foliant.session import read_table, spread
+
+
+def _texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The columns named and the text of a table, over all cores."""
+    return spread(read_table(spark, sf_dir, name).select(*columns, "text"))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.encode_corpus(read_table(spark, sf_dir, "documents"))
+    return tokens.encode_corpus(_texts(spark, sf_dir, "documents", "doc_id"))
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+    return mixing.mix(_texts(spark, sf_dir, "documents", "doc_id", "source"), read_table(spark, sf_dir, "mix_targets"))
 
 
 def p8_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,26 +33,26 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encodings.wrongly_decoded(read_table(spark, sf_dir, "pages")).select("page_id")
+    return encodings.wrongly_decoded(_texts(spark, sf_dir, "pages", "page_id")).select("page_id")
 
 
 def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with their wrongly decoded passages restored where they can be."""
-    return encodings.wrongly_decoded(read_table(spark, sf_dir, "pages"))
+    return encodings.wrongly_decoded(_texts(spark, sf_dir, "pages", "page_id"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scans.defects(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "books"))
+    found = scans.defects(_texts(spark, sf_dir, "pages", "page_id", "book", "page_index"), read_table(spark, sf_dir, "books"))
     return found.select("page_id", "line_no", "defect").distinct()
 
 
 def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuous paragraphs of the scanned pages."""
-    return scans.paragraphs(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "books"))
+    return scans.paragraphs(_texts(spark, sf_dir, "pages", "page_id", "book", "page_index"), read_table(spark, sf_dir, "books"))
 
 
 def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue.find_residue(residue.note_fields(read_table(spark, sf_dir, "note_blocks")))
+    return residue.find_residue(residue.note_fields(spread(read_table(spark, sf_dir, "note_blocks").select("block_no", "fields"))))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +87,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence units of every page, with their text."""
-    return sentences.sentences(read_table(spark, sf_dir, "pages"), with_text=True)
+    return sentences.sentences(_texts(spark, sf_dir, "pages", "page_id"), with_text=True)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +105,7 @@ def p6_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return webspam.find_spam(read_table(spark, sf_dir, "documents")).select("doc_id")
+    return webspam.find_spam(_texts(spark, sf_dir, "documents", "doc_id")).select("doc_id")
 
 
 QUERIES: dict = {

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm.arrow import emit_rows
-from foliant.session import broadcast_if_small
+from foliant.session import broadcast_if_small, ensure_checkpoint_dir
 
 #: A context is text about marks when it holds one and the same mark in at least this many fields.
 CONSTANT_FIELDS = 3
@@ -145,6 +145,7 @@ def find_residue(fields: DataFrame) -> DataFrame:
     fields: block_no, field_no, value. Null, empty and blank values and values that start with UNSURE are never residue. Rows with the
     same numbers count once; an empty table gives an empty one; other columns are not read.
     """
+    ensure_checkpoint_dir(fields.sparkSession)
     text = T.StringType()
     seen = emit_rows(
         fields.where("value IS NOT NULL"),
@@ -152,7 +153,7 @@ def find_residue(fields: DataFrame) -> DataFrame:
         ["value"],
         [("kind", text), ("context", text), ("name", text), ("edge", T.BooleanType())],
         signs,
-    )
+    ).checkpoint()  # few rows, which four plans below read
     marks = seen.where("kind = 'mark'")
     contexts = marks.groupBy("context").agg(F.count_distinct("name").alias("names"), F.count("*").alias("times"))
     constant = contexts.where((F.col("names") == 1) & (F.col("times") >= CONSTANT_FIELDS)).select("context")
