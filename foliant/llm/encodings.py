@@ -510,7 +510,7 @@ def repaired(text: Column) -> Column:
         done = [repair(x) for x in texts]
         return pd.DataFrame({"wrong": [d[0] for d in done], "restored": [d[1] for d in done]})
 
-    return run(text)
+    return run.asNondeterministic()(text)  # else a filter on the result is computed a second time below an exchange
 
 
 def wrongly_decoded(pages: DataFrame, id_col: str = "page_id", text_col: str = "text") -> DataFrame:

@@ -202,7 +202,7 @@ def token_ids(text: Column, path: str) -> Column:
         enc = encoder(path)
         return pd.Series([enc.encode(x) for x in texts], dtype=object)
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def token_count(text: Column, path: str) -> Column:
@@ -215,7 +215,7 @@ def token_count(text: Column, path: str) -> Column:
         enc = encoder(path)
         return pd.Series([sum(len(enc.piece_ids(p)) for p in enc.pieces.findall(x)) if x else 0 for x in texts], dtype="int64")
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def encode_corpus(

@@ -225,7 +225,7 @@ def spam_share_of(text: Column, limits: Limits = Limits()) -> Column:
 
         return pd.Series([spam_share(x, limits) for x in texts], dtype=float)
 
-    return run(text)
+    return run.asNondeterministic()(text)  # else a filter on the result is computed a second time below an exchange
 
 
 def find_spam(documents: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
