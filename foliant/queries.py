@@ -713,3 +713,6 @@ def _streamed(spark: SparkSession, sf: str, make, mode: str) -> DataFrame:
 def _is_folder(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+
+
+from foliant import more_queries  # noqa: E402, F401  registers its queries in the tables above
