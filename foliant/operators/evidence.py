@@ -49,7 +49,7 @@ def quote_status(checks: DataFrame, pages: DataFrame, least_words: int = 4) -> D
     exact = here.where((start > 0) & (start <= F.char_length("key"))).select("check_id").distinct()
     left = rest.join(exact, "check_id", "left_anti")
     pairs = contained_pairs(keys, "page_id", "key", left, "check_id", "qkey", ELSEWHERE_CHARS)
-    hits = pairs.join(left.select("check_id", "book"), "check_id").join(keys.select("page_id", "book", "page_index"), ["page_id", "book"])
+    hits = pairs.join(left.select("check_id", "book"), "check_id").join(pages.select("page_id", "book", "page_index"), ["page_id", "book"])
     found = hits.groupBy("check_id").agg(F.slice(F.array_sort(F.collect_set("page_index")), 1, 3).alias("pages"))
     wrong = found.select("check_id", F.lit("wrong-page").alias("status"), "pages")
     missing = left.join(found, "check_id", "left_anti").select("check_id", F.lit("not-found").alias("status"), none.alias("pages"))
