@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import regex
 from pyspark.sql import Column, DataFrame
@@ -46,11 +47,31 @@ def _phrases(unspaced: bool) -> list[str]:
     return [p for k, v in SALES_PHRASES.items() if (k in ("zh", "ja", "th")) == unspaced for p in v.split("; ")]
 
 
-_SALES = regex.compile(
-    r"(?<![\p{L}\p{M}\p{N}])(?:" + "|".join(sorted(map(regex.escape, _phrases(False)), key=len, reverse=True)) + r")(?![\p{L}\p{M}\p{N}])|"
-    + "|".join(sorted(map(regex.escape, _phrases(True)), key=len, reverse=True)),
-    regex.I,
-)
+
+
+@lru_cache(maxsize=1)
+def _sales_automaton():
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for unspaced in (False, True):
+        for phrase in _phrases(unspaced):
+            automaton.add_word(phrase.lower(), (len(phrase), unspaced))
+    automaton.make_automaton()
+    return automaton
+
+
+def sales_phrases(text: str) -> int:
+    """Number of sales phrases; the longest counts where several start. In scripts with spaces a phrase ends where a word ends."""
+    low = text.lower()
+    n, found = len(low), 0
+    for end, (length, unspaced) in _sales_automaton().iter_long(low):
+        start = end - length + 1
+        if unspaced or not (start and low[start - 1].isalnum()) and not (end + 1 < n and (low[end + 1].isalnum() or low[end + 1] in "ािीुूृेैोौं्")):
+            found += 1
+    return found
+
+
 
 _LINK = regex.compile(r"<a\b[^>]*>.*?</a>|!?\[[^\]\n]*\]\([^)\n]*\)|(?:https?://|www\.)[^\s<>\"')]+|<br\s*/?>", regex.I | regex.S)
 _TAG = regex.compile(r"(?<!\S)#[\p{L}\p{N}][\p{L}\p{M}\p{N}_-]*")
@@ -120,7 +141,7 @@ def keyword_density(text: str) -> tuple[float, float]:
 def _dense(text: str, limits: Limits) -> bool:
     """One keyword phrase over and over, be it within sentences."""
     parts = text.casefold().split()
-    sales = len(_SALES.findall(text)) >= 2
+    sales = sales_phrases(text) >= 2
     # a phrase that covers a share of the words leaves at most the rest of them, and itself, distinct
     share = limits.keyword_density if sales else limits.bare_density
     if len(set(parts)) > (1 - share) * len(parts) + 6 and not _UNSPACED.search(text):
@@ -134,7 +155,7 @@ def _dense(text: str, limits: Limits) -> bool:
 def _bare_string(text: str, limits: Limits) -> bool:
     """A string of keywords without separators: many sales phrases, hardly a word that joins others."""
     total = _words_in(text, limits)
-    if total < limits.bare_words or len(_SALES.findall(text)) < limits.sales_share * total:
+    if total < limits.bare_words or sales_phrases(text) < limits.sales_share * total:
         return False
     words = [w.casefold() for w in _WORDS.findall(text)]
     joiners = sum(w in _JOINERS for w in words) / max(1, len(words))
@@ -156,6 +177,8 @@ def _stuffed(text: str, limits: Limits) -> bool:
     long = sum(sizes) / len(sizes) > limits.segment_words
     if sum(sizes) / len(sizes) > 3 * limits.segment_words:
         return _bare_string(text, limits)
+    if long and sales_phrases(text) < 0.5 * len(named):
+        return False
     bags = [_WORDS.findall(s.casefold()) for s in named]
     pairs = Counter(p for b in bags for p in {*zip(b, b[1:])})
     leading = pairs.most_common(1)[0][1] / len(named) if pairs else 0.0
@@ -166,7 +189,7 @@ def _stuffed(text: str, limits: Limits) -> bool:
     words = Counter(w for b in bags for w in b)
     total = sum(words.values())
     joiners = sum(n for w, n in words.items() if w in _JOINERS) / max(1, total)
-    sales = sum(1 for s in named if _SALES.search(s)) / len(named)
+    sales = sum(1 for s in named if sales_phrases(s)) / len(named)
     strong = len(_STRONG.findall(text)) / len(segments)
     top = words.most_common(1)[0][1] / max(1, total)
     if long:
