@@ -175,3 +175,39 @@ def doubtful_pages(spark, sf):
     once = p.groupBy("book", "page_index").agg(F.max(bad.cast("int")).alias("bad"))
     inside = structure.section_pages(p, structure.outline(p)).select("book", "section", "page_index").distinct()
     return inside.join(once, ["book", "page_index"]).groupBy("book", "section").agg(F.count("*").alias("pages"), F.sum("bad").cast("long").alias("doubtful"))
+
+
+from foliant.operators import inventory  # noqa: E402
+from foliant.queries import _FIRSTS, _PARAS, ORACLES  # noqa: E402
+
+_BODY = f"""{_PARAS}, bs AS (SELECT book, p.size AS size, sum(length(p.text)) AS chars FROM paras_ WHERE p.size IS NOT NULL AND p.text IS NOT NULL GROUP BY ALL),
+bb AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY chars DESC, size) AS r, sum(chars) OVER (PARTITION BY book) AS all_chars FROM bs), body AS (SELECT book, size AS body_size FROM bb WHERE r = 1 AND all_chars > 2000)"""
+ORACLES["foot_notes"] = rf"""WITH {_BODY}, n AS (SELECT page_id, pos, p.y0 AS y0, coalesce(p.size < body_size * CAST(0.9 AS DOUBLE), false) OR coalesce(regexp_matches(p.text, '^\s*(?:\[[0-9]{{1,2}}\]|[*†‡])'), false) AS hit
+  FROM paras_ LEFT JOIN body ON paras_.book = body.book WHERE p.y0 >= height * CAST(0.7 AS DOUBLE)),
+w AS (SELECT *, bool_or(hit) OVER (PARTITION BY page_id ORDER BY y0, pos ROWS UNBOUNDED PRECEDING) AS note FROM n) SELECT page_id, CAST(pos AS INTEGER) AS pos FROM w WHERE note"""
+ORACLES["confusable_terms"] = (
+    f"WITH {_FIRSTS}, tt AS (SELECT book, term, string_split(term, ' ')[-1] AS last, string_split(term, ' ')[1] AS first FROM firsts), u AS (SELECT * FROM tt WHERE term != last),"
+    " p AS (SELECT a.book, a.term AS term_a, b.term AS term_b, CASE WHEN "
+    + " OR ".join(f"(a.first = '{x}' AND b.first = '{y}') OR (a.first = '{y}' AND b.first = '{x}')" for x, y in inventory.OPPOSITES)
+    + " THEN 1 ELSE 2 END AS reason FROM u a JOIN u b ON a.book = b.book AND a.last = b.last AND a.term < b.term),"
+    " r AS (SELECT *, CAST(row_number() OVER (PARTITION BY book ORDER BY reason, term_a, term_b) AS INTEGER) AS rank FROM p) SELECT book, term_a, term_b, CAST(reason AS INTEGER) AS reason, rank FROM r WHERE rank <= 5"
+)
+ORACLES["joined_line_ends"] = rf"""WITH {_LINES}, n AS (SELECT page_id, line_no, lower(line) AS line, lower(lead(line) OVER (PARTITION BY page_id ORDER BY line_no)) AS nxt FROM lines),
+e AS (SELECT page_id, line_no, regexp_extract(line, '([\p{{L}}\p{{N}}]+(?:-[\p{{L}}\p{{N}}]+)*)-\s*$', 1) AS tail, regexp_extract(nxt, '^\s*([\p{{Ll}}\p{{N}}]+)', 1) AS head FROM n WHERE nxt IS NOT NULL),
+v AS (SELECT unnest(regexp_extract_all(lower(line), '[\p{{L}}\p{{N}}]+(?:-[\p{{L}}\p{{N}}]+)*')) AS word FROM lines), k AS (SELECT word, count(*) AS n FROM v GROUP BY word)
+SELECT page_id, CAST(line_no AS INTEGER) AS line_no, CASE WHEN coalesce(c.n, 0) > coalesce(w.n, 0) THEN tail || '-' || head ELSE tail || head END AS word FROM e LEFT JOIN k w ON w.word = tail || head LEFT JOIN k c ON c.word = tail || '-' || head WHERE tail != '' AND head != ''"""
+ORACLES["flashcards"] = (
+    f"WITH {_FIELDS}, g AS (SELECT block_no, kind, arg_min(value, field_no) FILTER (key = 'term') AS term, arg_min(value, field_no) FILTER (key = 'definition') AS definition, arg_min(value, field_no) FILTER (key = 'ask') AS ask, arg_min(value, field_no) FILTER (key = 'answer') AS answer FROM f WHERE value IS NOT NULL GROUP BY ALL),"
+    " c AS (SELECT block_no, term AS a, definition AS b FROM g WHERE kind = 'concept' UNION ALL SELECT block_no, ask, answer FROM g WHERE kind = 'question'),"
+    f" d AS (SELECT block_no, {_BARE.format(v='a')} AS front, {_BARE.format(v='b')} AS back FROM c) SELECT * FROM d WHERE front != '' AND back != ''"
+)
+ORACLES["reading_order"] = f"""WITH {_PARAS}, l AS (SELECT paras_.page_id, pos, p.x0 AS x0, p.x1 AS x1, p.y0 AS y0, pages.width AS width FROM paras_ JOIN pages ON paras_.page_id = pages.page_id),
+s AS (SELECT *, CASE WHEN x1 <= width / 2 * CAST(1.04 AS DOUBLE) THEN 1 WHEN x0 >= width / 2 * CAST(0.96 AS DOUBLE) THEN 2 ELSE 0 END AS side FROM l),
+t AS (SELECT *, sum(CAST(side = 1 AS INTEGER)) OVER w >= 8 AND sum(CAST(side = 2 AS INTEGER)) OVER w >= 8 AND sum(CAST(side = 0 AS INTEGER)) OVER w < count(*) OVER w * CAST(0.25 AS DOUBLE) AS two FROM s WINDOW w AS (PARTITION BY page_id)),
+u AS (SELECT *, CASE WHEN two THEN side ELSE 0 END AS sd FROM t), b AS (SELECT *, CASE WHEN two THEN sum(CAST(sd = 0 AS INTEGER)) OVER (PARTITION BY page_id ORDER BY y0, x0 ROWS UNBOUNDED PRECEDING) ELSE 0 END AS band FROM u)
+SELECT page_id, CAST(pos AS INTEGER) AS pos, CAST(row_number() OVER (PARTITION BY page_id ORDER BY band, sd, y0, x0) AS INTEGER) AS place, two AS two_column FROM b"""
+ORACLES["page_quality_flags"] = rf"""WITH q AS (SELECT page_id, width, height, images, two_column, coalesce(text, '') AS text FROM pages),
+m AS (SELECT *, length(regexp_replace(text, '\s', '', 'g')) AS chars, coalesce(coalesce(list_sum(list_transform(images, lambda r: (r[3] - r[1]) * (r[4] - r[2]))), 0) > width * height * CAST(0.45 AS DOUBLE), false) AS covered, {_GARBLE} AS garble,
+  len(list_filter(string_split(text, chr(10)), lambda x: (contains(x, '=') AND length(x) < 90) OR len(regexp_extract_all(x, '[=+×÷∑∫√≈≠≤≥∞±^]')) >= 3 OR regexp_matches(x, '\(\d+\.\d+\)\s*$'))) AS formulas, len(regexp_extract_all(text, '[_^](?:\{{[^}}]*\}}|[\p{{L}}\p{{N}}_])')) AS scripts FROM q)
+SELECT page_id, array_to_string(list_filter([CASE WHEN chars < 30 AND covered THEN 'scanned-no-text' END, CASE WHEN chars < 30 AND NOT covered THEN 'blank' END, CASE WHEN garble > 0.01 THEN 'garbled' END,
+  CASE WHEN formulas >= 3 OR scripts >= 6 THEN 'math-heavy' END, CASE WHEN coalesce(two_column, false) THEN 'two-column' END], lambda x: x IS NOT NULL), ',') AS flags FROM m"""
