@@ -128,8 +128,8 @@ def rank_pages(queries: DataFrame, query_id: str, query_text: str, pages: DataFr
     wanted = queries.where(F.col(query_text).isNotNull()).select(query_id, F.explode(words_of(F.col(query_text))).alias("word"))
     tf = tf.join(wanted.select("word").distinct(), "word", "left_semi")
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    n = pages.where("text IS NOT NULL").agg(F.count("*").alias("n"))
-    idf = df.crossJoin(F.broadcast(n)).select("word", F.log(1 + F.col("n") / (1 + F.col("df"))).alias("idf"))  # n is one row
+    n = pages.where("text IS NOT NULL").agg(F.count("*")).scalar()
+    idf = df.select("word", F.log(1 + n / (1 + F.col("df"))).alias("idf"))
     weighted = tf.join(idf, "word").select("word", "page_id", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     scores = wanted.join(weighted, "word").groupBy(query_id, "page_id").agg(F.round(F.sum("w"), 6).alias("score"))
     return top_k(scores, [query_id], [F.col("score").desc(), F.col("page_id")], k)

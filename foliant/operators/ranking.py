@@ -14,11 +14,10 @@ WEIGHTS = {"past": 3.0, "objectives": 1.0, "exercises": 1.0, "reuse": 0.8, "term
 def weighted_score(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     """score: each signal divided by its largest value (0 where that is 0), weighted and added."""
     total: Column = F.lit(0.0).cast("double")
-    tops = df.agg(*[F.max(c).alias(f"__{c}") for c in weights])  # one row
-    both = df.crossJoin(F.broadcast(tops))
     for c, w in weights.items():
-        total = total + F.coalesce(F.col(c) / F.nullif(F.col(f"__{c}"), F.lit(0)), F.lit(0.0)) * F.lit(w).cast("double")
-    return both.withColumn("score", F.round(total, 6)).drop(*[f"__{c}" for c in weights])
+        top = df.agg(F.max(c)).scalar()
+        total = total + F.coalesce(F.col(c) / F.nullif(top, F.lit(0)), F.lit(0.0)) * F.lit(w).cast("double")
+    return df.withColumn("score", F.round(total, 6))
 
 
 def stars(df: DataFrame, order: list[Column], high: float = 0.3, middle: float = 0.7) -> DataFrame:
@@ -27,11 +26,11 @@ def stars(df: DataFrame, order: list[Column], high: float = 0.3, middle: float =
     Ranks of all rows need one order over the table; the rows ranked here are books or sections, not pages.
     """
     w = Window.partitionBy(F.lit(1)).orderBy(*order)
-    n = df.agg(F.count("*").alias("__n"))
-    ranked = df.withColumn("rank", F.row_number().over(w)).crossJoin(F.broadcast(n))
-    three = F.col("rank") <= F.bround(F.col("__n") * F.lit(high).cast("double"))
-    two = F.col("rank") <= F.bround(F.col("__n") * F.lit(middle).cast("double"))
-    return ranked.withColumn("stars", F.when(three, 3).when(two, 2).otherwise(1)).drop("__n")
+    ranked = df.withColumn("rank", F.row_number().over(w))
+    n = df.agg(F.count("*")).scalar()
+    three = F.col("rank") <= F.bround(n * F.lit(high).cast("double"))
+    two = F.col("rank") <= F.bround(n * F.lit(middle).cast("double"))
+    return ranked.withColumn("stars", F.when(three, 3).when(two, 2).otherwise(1))
 
 
 def book_signals(books: DataFrame, pages: DataFrame, checks: DataFrame) -> DataFrame:

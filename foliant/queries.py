@@ -489,8 +489,9 @@ def mutation_catch_rate(spark, sf):
     numbers = p.select("book", "page_index", F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), 0)).alias("n")).distinct()
     planted = _planted(spark, sf).join(q.select("check_id", "book", "page_index"), "check_id")
     seen = numbers.select("book", "page_index", F.col("n").alias("changed"))
-    missed = planted.join(seen, ["book", "page_index", "changed"], "left_semi").agg(F.count("*").alias("missed"))
-    return planted.agg(F.count("*").alias("planted")).crossJoin(missed).select("planted", (F.col("planted") - F.col("missed")).alias("caught"))
+    missed = seen.withColumn("missed", F.lit(1))
+    judged = planted.join(missed, ["book", "page_index", "changed"], "left")
+    return judged.agg(F.count("*").alias("planted"), (F.count("*") - F.count("missed")).alias("caught"))
 
 
 @query("SELECT check_id, book, CAST(ceil(n / CAST(12 AS DOUBLE)) AS INTEGER) AS batch, CAST((n - 1) % 12 + 1 AS INTEGER) AS place FROM (SELECT check_id, book, row_number() OVER (PARTITION BY book ORDER BY check_id) AS n FROM quote_checks)")
