@@ -73,3 +73,10 @@ def spread(table: DataFrame) -> DataFrame:
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
     return table if table.rdd.getNumPartitions() >= min(cores, 8) else table.repartition(cores)
+
+
+def bound_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Smaller Arrow batches than Spark's default, as a row holds a whole text; a setting made by the user stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, rows)
