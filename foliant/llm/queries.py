@@ -65,7 +65,8 @@ def p3_clean_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
-    items = splitting.all_items(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "tasks"))
+    tasks = spread(read_table(spark, sf_dir, "tasks").select("task_id", "tier", "read"))
+    items = splitting.all_items(_texts(spark, sf_dir, "pages", "page_id"), tasks)
     return splitting.split_items(items, read_table(spark, sf_dir, "size_limits"), with_text)
 
 
