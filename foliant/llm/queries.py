@@ -42,13 +42,13 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scans.defects(_texts(spark, sf_dir, "pages", "page_id", "book", "page_index"), read_table(spark, sf_dir, "books"))
+    found = scans.defects(_texts(spark, sf_dir, "pages", "page_id", "book", "page_index", "flags"), read_table(spark, sf_dir, "books"))
     return found.select("page_id", "line_no", "defect").distinct()
 
 
 def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuous paragraphs of the scanned pages."""
-    return scans.paragraphs(_texts(spark, sf_dir, "pages", "page_id", "book", "page_index"), read_table(spark, sf_dir, "books"))
+    return scans.paragraphs(_texts(spark, sf_dir, "pages", "page_id", "book", "page_index", "flags"), read_table(spark, sf_dir, "books"))
 
 
 def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:

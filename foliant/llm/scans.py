@@ -4,10 +4,12 @@ One pass reads all pages: it counts the words of pages that are not scans (the v
 Words of scans that the vocabulary lacks are looked up in a trie of the vocabulary that is intersected with an automaton of
 weighted edits, whose edits are the confusions of print recognition; all candidates within the bound are found. Running lines
 are told by how often a book's pages repeat them, page numbers by the offset to the page index that most pages of the book agree on.
+A page is a scan by its line ends, else, if it is as narrow as print, by its flag or by a running line of a book with scans.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -31,6 +33,8 @@ HELD_WORDS = 300_000
 MOST_CONFUSIONS = 2
 #: Pages of a book that must share a line at their edge for it to be a running one.
 SHARED_PAGES = 3
+#: Columns that a printed line has at most.
+PRINT_WIDTH = 84
 
 #: What print recognition makes of letters, as (printed, read).
 CONFUSIONS = [
@@ -82,9 +86,9 @@ def broken_end(line: str) -> regex.Match | None:
 
 
 def is_scan(text: str) -> bool:
-    """Whether a page's paragraphs are cut into lines of about one width, as recognised print is; flags are not needed."""
+    """Whether a page's paragraphs are cut into lines of about one width, as recognised print is; pages with fewer wrapped lines need other signs."""
     lines = text.split("\n")
-    if sorted(map(len, lines))[len(lines) * 4 // 5] > 84:
+    if sorted(map(len, lines))[len(lines) * 4 // 5] > PRINT_WIDTH:
         return False
     wrapped = 0
     for a, b in zip(lines, lines[1:]):
@@ -96,6 +100,14 @@ def is_scan(text: str) -> bool:
     return False
 
 
+def is_narrow(text: str) -> bool:
+    """Whether no line of a page is wider than print; wide characters take two columns."""
+    lines = text.split("\n")
+    if max(map(len, lines)) > PRINT_WIDTH:
+        return False
+    return all(x.isascii() or sum(1 + (unicodedata.east_asian_width(c) in "WF") for c in x) <= PRINT_WIDTH for x in lines)
+
+
 def number_of(digits: str) -> int | None:
     """Value of a page number as read, roman ones included."""
     if any(c.isdigit() for c in digits) or digits in ("l", "lO", "ll", "O"):
@@ -190,22 +202,23 @@ _PROFILE = T.StructType(
     + [T.StructField(c, _INT) for c in ("page_index", "line_no", "spot")]
     + [T.StructField("shape", _TEXT), T.StructField("key", _TEXT), T.StructField("number", _INT)]
     + [T.StructField(c, _TEXT) for c in ("hyphen", "tail", "head")]
-    + [T.StructField("next_line", _INT), T.StructField("words", T.ArrayType(_TEXT))]
+    + [T.StructField("next_line", _INT), T.StructField("words", T.ArrayType(_TEXT)), T.StructField("sure", T.BooleanType())]
 )
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
     """Word counts (word, n_clean, n_scan) of all pages and the lines of scanned ones, in one pass and one table.
 
-    Counts are added up within each task before they leave Python, in rounds of at most HELD_WORDS distinct words.
+    Counts are added up within each task before they leave Python, in rounds of at most HELD_WORDS distinct words. Narrow pages without
+    another sign of a scan are not sure: they give their lines and, under their page_id, both counts of which settled() keeps one.
     """
     schema = to_arrow_schema(_PROFILE)
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) or [()] * 16
+        columns = list(zip(*rows)) or [()] * 17
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    def counted(clean: Counter, scan: Counter) -> list[tuple]:
+    def counted(clean: Counter, scan: Counter, page: tuple = (None, None)) -> list[tuple]:
         counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
         for which, counter in ((0, clean), (1, scan)):
             for token, n in counter.items():
@@ -214,19 +227,24 @@ def read_pages(pages: DataFrame) -> DataFrame:
                 if "(" in key:
                     counts[key.replace("(", "")][which] += n
             counter.clear()
-        return [(w, a, b, *[None] * 13) for w, (a, b) in counts.items()]
+        return [(w, a, b, *page, *[None] * 12) for w, (a, b) in counts.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clean, scan = Counter(), Counter()
         for batch in batches:
             rows = []
-            for page_id, book, index, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for page_id, book, index, ocr, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if not text or text.isspace():
                     continue
-                if is_scan(text):
+                narrow = not (shaped := is_scan(text)) and is_narrow(text)
+                if shaped or narrow:
+                    sure = shaped or bool(ocr)
+                    of_page = Counter()
                     for line in take_apart(text):
-                        scan.update(line[-1])
-                        rows.append((None, None, None, page_id, book, index, *line))
+                        (scan if sure else of_page).update(line[-1])
+                        rows.append((None, None, None, page_id, book, index, *line, sure))
+                    if not sure:
+                        rows += counted(Counter((_TOKEN if "'" in text else _PLAIN_TOKEN).findall(text)), of_page, (page_id, book))
                 else:
                     clean.update((_TOKEN if "'" in text else _PLAIN_TOKEN).findall(text))
             yield table(rows)
@@ -234,7 +252,33 @@ def read_pages(pages: DataFrame) -> DataFrame:
                 yield table(counted(clean, scan))
         yield table(counted(clean, scan))
 
-    return pages.select("page_id", "book", "page_index", "text").where("text IS NOT NULL").mapInArrow(run, _PROFILE)
+    ocr = F.array_contains("flags", "ocr") if "flags" in pages.columns else F.lit(None).cast("boolean")
+    return pages.select("page_id", "book", "page_index", ocr.alias("ocr"), "text").where("text IS NOT NULL").mapInArrow(run, _PROFILE)
+
+
+def settled(pages: DataFrame, books: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines of scanned pages, word counts of all pages and running lines, when the pages that are not sure are judged.
+
+    Such a page is a scan when its book has SHARED_PAGES sure ones and one of its lines is a running one among them.
+    """
+    profile = read_pages(pages).checkpoint()
+    lines = profile.where("word IS NULL").drop("word", "n_clean", "n_scan")
+    scanned = lines.where("sure").groupBy("book").agg(F.count_distinct("page_id").alias("n")).where(F.col("n") >= SHARED_PAGES).select("book")
+    asked = lines.where("NOT sure").join(broadcast_if_small(scanned), "book", "left_semi").select(*lines.columns).checkpoint()
+    lines = lines.where("sure").unionByName(asked)
+    running = running_lines(lines, books).checkpoint()
+    taken = asked.select("page_id").distinct().join(running.select("page_id").distinct(), "page_id", "left_semi").withColumn("taken", F.lit(True)).checkpoint()
+    few = broadcast_if_small(taken)
+    lines = profile.where("sure").select(*lines.columns).unionByName(asked.join(few, "page_id", "left_semi").select(*lines.columns))
+    refused = broadcast_if_small(asked.join(few, "page_id", "left_anti").select("page_id").distinct())
+    running = running.join(refused, "page_id", "left_anti").checkpoint()
+
+    words = profile.where("word IS NOT NULL").select("word", "n_clean", "n_scan", "page_id")
+    doubtful = words.where("page_id IS NOT NULL").join(few, "page_id", "left")
+    doubtful = doubtful.select("word", F.when(F.col("taken"), 0).otherwise(F.col("n_clean")).alias("n_clean"), F.when(F.col("taken"), F.col("n_scan")).otherwise(0).alias("n_scan"))
+    words = words.where("page_id IS NULL").drop("page_id").unionByName(doubtful)
+    counts = words.groupBy("word").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_scan").alias("n_scan"))
+    return lines, counts.checkpoint(), running
 
 
 class Trie:
@@ -408,18 +452,17 @@ def defects(pages: DataFrame, books: DataFrame | None = None) -> DataFrame:
     """page_id, line_no, defect, token and meant of every defect of the scanned pages.
 
     defect is running, hyphen or misread. token is the word as it was read (the joined word of a hyphen), meant the word as it was printed, in small
-    letters, where it is another one; a line has a row for each misread word. pages: page_id, book, page_index, text; books: book and title, to know a book's title where it is a running head. Null, empty and
+    letters, where it is another one; a line has a row for each misread word. pages: page_id, book, page_index, text and, if at hand, flags; books: book and title, to know a book's title where it is a running head. Null, empty and
     blank texts give nothing; pages without a book or index only lose the comparison with their book; a page delivered several times is judged each time.
     Empty tables give an empty result; other columns are not read.
     """
     ensure_checkpoint_dir(pages.sparkSession)
-    profile = read_pages(pages).checkpoint()
-    lines = profile.where("word IS NULL").drop("word", "n_clean", "n_scan")
-    counts = profile.where("word IS NOT NULL").groupBy("word").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_scan").alias("n_scan"))
-    counts = counts.checkpoint()
+    return _defects(*settled(pages, books))
+
+
+def _defects(lines: DataFrame, counts: DataFrame, running: DataFrame) -> DataFrame:
     vocabulary = counts.where(F.col("n_clean") >= KNOWN_TIMES).select("word", F.col("n_clean").alias("n"))
 
-    running = running_lines(lines, books).checkpoint()
     content = lines.join(broadcast_if_small(running), ["page_id", "line_no"], "left_anti")
 
     # words broken at line ends: the joined word and the compound, as often as they are known
@@ -545,20 +588,23 @@ def reflow(text: str, found: list[dict] | None) -> list[str]:
 
 def paragraphs(pages: DataFrame, books: DataFrame | None = None) -> DataFrame:
     """page_id, para_no and text of the repaired paragraphs of every scanned page; pages that are no scans give their lines as they are."""
-    found = defects(pages, books).groupBy("page_id").agg(F.collect_list(F.struct("line_no", "defect", "token", "meant")).alias("found"))
-    both = pages.select("page_id", "text").where("text IS NOT NULL").join(found, "page_id", "left")
+    ensure_checkpoint_dir(pages.sparkSession)
+    lines, counts, running = settled(pages, books)
+    found = _defects(lines, counts, running).groupBy("page_id").agg(F.collect_list(F.struct("line_no", "defect", "token", "meant")).alias("found"))
+    scanned = lines.select("page_id").distinct().withColumn("scanned", F.lit(True))
+    both = pages.select("page_id", "text").where("text IS NOT NULL").join(found, "page_id", "left").join(scanned, "page_id", "left")
     kind = T.ArrayType(T.StringType())
 
     @F.pandas_udf(kind)
-    def run(texts, founds):
+    def run(texts, founds, scans):
         import pandas as pd
 
         out = []
-        for text, f in zip(texts, founds):
-            if text.strip() and is_scan(text):
+        for text, f, scanned in zip(texts, founds, scans):
+            if scanned:
                 out.append(reflow(text, list(f) if f is not None else None))
             else:
                 out.append([x for x in text.split("\n") if x.strip()])
         return pd.Series(out, dtype=object)
 
-    return both.select("page_id", F.posexplode(run("text", "found")).alias("para_no", "text"))
+    return both.select("page_id", F.posexplode(run("text", "found", F.coalesce("scanned", F.lit(False)))).alias("para_no", "text"))

@@ -59,6 +59,21 @@ def test_paragraphs_are_continuous(spark):
     ]
 
 
+def test_scans_with_few_wrapped_lines(spark):
+    pages, books = tables(spark)
+    short = ["Pressure and membrane   {}", "pV = nRT   (3.25)", "The samplc follows it.", "– {} –"]
+    by_flag, by_book = ("\n".join(short).format(i, i) for i in (7, 8))
+    wide = "学生常把大气压力和通货膨胀混为一谈。从1774年到1779年，高温区域逐渐下降。请勿把样品加热到3度以上！"
+    rows = [(300, "alone", 7, ["ocr"], by_flag), (301, "b", 8, None, by_book), (302, "b", 9, [], "q = m * c * dT   (6.8)"), (303, "alone", 8, ["ocr"], wide), (304, "other", 8, [], by_book)]
+    more = spark.createDataFrame(rows, "page_id long, book string, page_index int, flags array<string>, text string")
+    every = pages.unionByName(more, allowMissingColumns=True)
+    got = {(r.page_id, r.line_no, r.defect) for r in scans.defects(every, books).collect() if r.page_id >= 300}
+    both = {(p, n, d) for p in (300, 301) for n, d in ((0, "running"), (2, "misread"), (3, "running"))}
+    assert got == both
+    lines = {p: [r.text for r in scans.paragraphs(every, books).where(f"page_id = {p}").orderBy("para_no").collect()] for p in (301, 304)}
+    assert "The sample follows it." in " ".join(lines[301]) and "– 8 –" in lines[304]
+
+
 def test_trie_finds_all_candidates_within_the_bound():
     words = ["marginal", "margin", "cache", "specific", "internal", "sample", "shared", "the"]
     trie = scans.Trie((w, 50) for w in words)
