@@ -25,6 +25,8 @@ from foliant.session import broadcast_if_small, ensure_checkpoint_dir
 
 #: Times a word must occur on pages that are no scans to be known.
 KNOWN_TIMES = 2
+#: A known word is a misreading all the same when confusions make it of a word so many times as frequent; doubtful ones only count in long words.
+MISREAD_RATIO = 100
 #: Words of the vocabulary that one trie holds, and looked-up words that one task takes.
 TRIE_WORDS, LOOKED_UP = 300_000, 20_000
 #: Distinct words that a task counts before it hands them on.
@@ -332,16 +334,19 @@ _BY_READ = dict(_BY_READ)
 _NUMERIC = regex.compile(r"^(?=.*\d)(?=.*[lIiOo])[\dlIiOo]+$")
 
 
-def best_correction(word: str, times: int, trie: Trie) -> tuple[str, int] | None:
+def best_correction(word: str, times: int, trie: Trie, known: int = 0) -> tuple[str, int] | None:
     """The word meant by one that the vocabulary lacks, with its number of confusions, or null.
 
-    Fewer confusions come first, then frequency. A short word or one with doubtful confusions only needs a candidate that is much more frequent.
+    Fewer confusions come first, then frequency. A short word or one with doubtful confusions only needs a candidate that is much more frequent;
+    a word that the vocabulary has (known times) needs one that is MISREAD_RATIO times as frequent and, if the word is short, sure.
     """
     found = trie.within(word)
     if not found and word.startswith("("):
         found = trie.within(word[1:])
     good = []
     for candidate, (cost, n, sure) in found.items():
+        if known and (n < MISREAD_RATIO * known or len(word) < 6 and not sure):
+            continue
         need = 4 * times if sure else 8 * times
         if len(word) < 4:
             need = max(need, 40)
@@ -356,7 +361,7 @@ def best_correction(word: str, times: int, trie: Trie) -> tuple[str, int] | None
 
 
 def look_up(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """word, meant and confusions of the unknown words (word, n) that are misreadings of a word of the vocabulary (word, n).
+    """word, meant and confusions of the asked words (word, n, known) that are misreadings of a word of the vocabulary (word, n).
 
     The vocabulary is divided into tries of bounded size; every block of unknown words meets every trie, and the best of all answers counts.
     """
@@ -365,7 +370,7 @@ def look_up(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
     blocks = max(blocks, min(8, unknown.sparkSession.sparkContext.defaultParallelism))
     v = vocabulary.select("word", "n", F.pmod(F.xxhash64("word"), F.lit(tries)).cast("int").alias("trie"))
     v = v.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    u = unknown.select("word", "n", F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int").alias("block"))
+    u = unknown.select("word", "n", "known", F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int").alias("block"))
     u = u.select("*", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("trie"))
 
     def search(key, left, right):
@@ -373,8 +378,8 @@ def look_up(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
         trie = Trie(zip(left["word"], left["n"]))
         rows = []
-        for word, times in zip(right["word"], right["n"]):
-            best = best_correction(word, times, trie)
+        for word, times, known in zip(right["word"], right["n"], right["known"]):
+            best = best_correction(word, times, trie, known)
             if best:
                 rows.append((word, *best, trie.within(word).get(best[0], (0, 0, True))[1]))
         return pd.DataFrame(rows, columns=["word", "meant", "confusions", "frequency"])
@@ -463,6 +468,7 @@ def defects(pages: DataFrame, books: DataFrame | None = None) -> DataFrame:
 def _defects(lines: DataFrame, counts: DataFrame, running: DataFrame) -> DataFrame:
     vocabulary = counts.where(F.col("n_clean") >= KNOWN_TIMES).select("word", F.col("n_clean").alias("n"))
 
+    most = vocabulary.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     content = lines.join(broadcast_if_small(running), ["page_id", "line_no"], "left_anti")
 
     # words broken at line ends: the joined word and the compound, as often as they are known
@@ -480,16 +486,21 @@ def _defects(lines: DataFrame, counts: DataFrame, running: DataFrame) -> DataFra
 
     # what is unknown among single words, joined words and compounds
     singles = content.select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    joined = broken.where("n_whole < 2 AND n_compound < 2")
+    # known ones are asked too: what they were misread from may be far more frequent
+    unseen = F.expr("n_whole < 2 AND n_compound < 2")
+    joined = broken.where(unseen | (F.greatest("n_whole", "n_compound") * MISREAD_RATIO <= most))
+    joined = joined.withColumn("ask_whole", unseen | (F.col("n_whole") >= 2)).withColumn("ask_compound", unseen | (F.col("n_compound") >= 2))
     asked = (
         singles.select(_keys(F.col("token")).alias("word"), "n")
-        .unionByName(joined.where("head IS NOT NULL").select(F.col("whole").alias("word"), F.lit(1).cast("long").alias("n")))
-        .unionByName(joined.where("compound IS NOT NULL").select(F.col("compound").alias("word"), F.lit(1).cast("long").alias("n")))
+        .unionByName(joined.where("head IS NOT NULL AND ask_whole").select(F.col("whole").alias("word"), F.lit(1).cast("long").alias("n")))
+        .unionByName(joined.where("compound IS NOT NULL AND ask_compound").select(F.col("compound").alias("word"), F.lit(1).cast("long").alias("n")))
         .groupBy("word")
         .agg(F.sum("n").alias("n"))
     )
     has_letter = F.col("word").rlike(r"[\p{L}@(]") & (F.length("word") >= 2) & ~F.col("word").rlike("^[ivxlc]+$")
-    unknown = asked.where(has_letter).join(vocabulary.select("word"), "word", "left_anti")
+    known_n = F.coalesce("known", F.lit(0))
+    unknown = asked.where(has_letter).join(vocabulary.select("word", F.col("n").alias("known")), "word", "left").withColumn("known", known_n)
+    unknown = unknown.where(F.col("known") * MISREAD_RATIO <= most)
     meant = look_up(unknown, vocabulary).checkpoint()
     # an opening bracket alone before a known word is no misreading
     bare = meant.where("startswith(word, '(')").withColumn("rest", F.expr("substring(word, 2)"))
@@ -504,6 +515,10 @@ def _defects(lines: DataFrame, counts: DataFrame, running: DataFrame) -> DataFra
     # a misread broken word: the part that differs tells the line
     answers = joined.join(meant.select(F.col("word").alias("whole"), F.col("meant").alias("as_whole"), F.col("confusions").alias("c_whole")), "whole", "left")
     answers = answers.join(meant.select(F.col("word").alias("compound"), F.col("meant").alias("as_compound"), F.col("confusions").alias("c_compound")), "compound", "left")
+    for form in ("whole", "compound"):
+        answers = answers.withColumn(f"as_{form}", F.when(F.col(f"ask_{form}"), F.col(f"as_{form}")))
+    # a known form that is no misreading settles the word
+    answers = answers.where("(n_whole < 2 OR as_whole IS NOT NULL) AND (n_compound < 2 OR as_compound IS NOT NULL)")
     compound_better = F.col("as_compound").isNotNull() & (F.col("as_whole").isNull() | (F.col("c_compound") < F.col("c_whole")))
     answers = answers.withColumn("kept", compound_better).withColumn("word_meant", F.when(compound_better, F.col("as_compound")).otherwise(F.col("as_whole")))
     spoiled = answers.where("word_meant IS NOT NULL").withColumn("tail_key", _keys(F.col("tail"))).withColumn("head_key", _keys(F.col("head")))

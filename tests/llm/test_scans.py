@@ -74,6 +74,19 @@ def test_scans_with_few_wrapped_lines(spark):
     assert "The sample follows it." in " ".join(lines[301]) and "– 8 –" in lines[304]
 
 
+def test_known_misreadings_are_looked_up(spark):
+    pages, books = tables(spark)
+    # stray copies of misreadings on pages that are no scans: far rarer than the words they come from
+    stray = "The sarnple and the productiviiy, the rneinbrane and the mernbrane of it, as it follows from what was said long before this was written. "
+    plain = "The membrane and the sample and the pressure follow the class and the dass of it, as was said long before this was written here. "
+    body = ["The mernbrane of the sample follows from the reac-", "tion and more than once, it depends on the mern-", "brane and the class of the sample and the membrane", "of the pressure and the reaction that follows it."]
+    rows = [(400, "clean", 400, stray * 2), (401, "clean", 401, plain * 300), (402, "c", 1, "\n".join(body))]
+    more = spark.createDataFrame(rows, "page_id long, book string, page_index int, text string")
+    got = {(r.line_no, r.defect, r.meant) for r in scans.defects(pages.unionByName(more, allowMissingColumns=True), books).where("page_id = 402").collect()}
+    assert {(0, "misread", "membrane"), (1, "misread", "membrane"), (1, "hyphen", "membrane")} <= got
+    assert not any(line == 2 for line, _, _ in got)  # class is as frequent as dass
+
+
 def test_trie_finds_all_candidates_within_the_bound():
     words = ["marginal", "margin", "cache", "specific", "internal", "sample", "shared", "the"]
     trie = scans.Trie((w, 50) for w in words)
