@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as tx
 from foliant.plans.shapes import hash_uniform
+from foliant.session import broadcast_if_small, ensure_checkpoint_dir
 
 #: Words and their opposites, by language, in order of use.
 ANTONYMS = {
@@ -73,17 +74,38 @@ def status_rollup(statuses: DataFrame, key: str = "book", status: str = "status"
 def mismatched(claims: DataFrame, claim_id: str, key: str, contexts: DataFrame, context_id: str, context_key: str, most: float = 0.2, seed: int = 0) -> DataFrame:
     """For each claim one context that shares less than a share of its three-grams, chosen by hash.
 
-    Every claim is tried against a few hashed contexts, so that the work grows with the claims and not with all pairs.
+    Every claim is tried against a few hashed contexts, so that the work grows with the claims and not with all pairs. Claims that none of these fits
+    are tried against further blocks of contexts, each eight times as large, until every claim has one or all contexts were tried.
     """
-    tries = 8
-    slots = contexts.select(context_id, context_key, F.pmod(F.xxhash64(context_id), F.lit(64)).alias("slot"))
-    one = slots.groupBy("slot").agg(F.min(F.struct(hash_uniform(F.col(context_id), seed=seed).alias("u"), F.col(context_id).alias("id"), F.col(context_key).alias("k"))).alias("c"))
-    wanted = claims.where(F.char_length(key) >= 3).select(claim_id, key, F.explode(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda i: F.pmod(F.xxhash64(F.col(claim_id)) + i * 7, F.lit(64)))).alias("slot"))
-    both = wanted.join(F.broadcast(one), "slot")  # at most 64 rows
-    grams = F.transform(F.sequence(F.lit(1), F.char_length(key) - 2), lambda i: F.substring(F.col(key), i, F.lit(3)))
-    shared = F.size(F.filter(F.array_distinct(grams), lambda g: F.contains(F.col("c.k"), g))) / F.size(F.array_distinct(grams))
-    fit = both.withColumn("shared", shared).where(F.col("shared") < most)
-    return fit.groupBy(claim_id).agg(F.min(F.struct("slot", F.col("c.id").alias("id"), "shared")).alias("b")).select(claim_id, F.col("b.id").alias(context_id), F.round("b.shared", 6).alias("shared"))
+    ensure_checkpoint_dir(claims.sparkSession)
+    tries, width = 8, 64
+    u = hash_uniform(F.col(context_id), seed=seed)
+    slots = contexts.select(context_id, context_key, F.pmod(F.xxhash64(context_id), F.lit(width)).alias("slot"))
+    one = slots.groupBy("slot").agg(F.min(F.struct(u.alias("u"), F.col(context_id).alias("id"), F.col(context_key).alias("k"))).alias("c"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(key) - 2), lambda i: F.substring(F.col(key), i, F.lit(3))))
+    shared = F.size(F.filter("grams", lambda g: F.contains(F.col("c.k"), g))) / F.size("grams")
+    asked = claims.where(F.char_length(key) >= 3).select(claim_id, grams.alias("grams"))
+
+    def fits(both: DataFrame, order: str) -> DataFrame:
+        # explode, as a filter on a plain column would compute it twice
+        fit = both.select("*", F.explode(F.array(shared)).alias("shared")).where(F.col("shared") < most)
+        best = fit.groupBy(claim_id).agg(F.min(F.struct(order, F.col("c.id").alias("id"), "shared")).alias("b"))
+        return best.select(claim_id, F.col("b.id").alias(context_id), F.round("b.shared", 6).alias("shared"))
+
+    wanted = asked.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda i: F.pmod(F.xxhash64(F.col(claim_id)) + i * 7, F.lit(width)))).alias("slot"))
+    found = fits(wanted.join(F.broadcast(one), "slot"), "slot").checkpoint()  # at most 64 contexts
+    left = asked.join(found.select(claim_id), claim_id, "left_anti").checkpoint()
+    total, low, size = 0, 0.0, width
+    while low < 1 and left.count():
+        total = total or contexts.count()
+        high = low + size / max(total, 1)
+        block = contexts.where((u >= low) & (u < high) if high < 1 else u >= low)
+        block = block.select(u.alias("u"), F.struct(F.col(context_id).alias("id"), F.col(context_key).alias("k")).alias("c"))
+        more = fits(block.crossJoin(broadcast_if_small(left)), "u").checkpoint()
+        found = found.unionByName(more)
+        left = left.join(more.select(claim_id), claim_id, "left_anti").checkpoint()
+        low, size = high, size * 8
+    return found
 
 
 def claim_ids(location: Column, text: Column, quotes: Column) -> Column:

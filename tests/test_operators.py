@@ -204,3 +204,15 @@ def test_empty_tables(spark):
     q = quotes(spark, [(1, "b", 0, "x")]).where(F.lit(False))
     assert evidence.quote_status(q, pages).count() == evidence.number_support(q, pages).count() == structure.label_offsets(pages).count() == 0
     assert practice.relearning(results_of(spark, [(0, True)]).where(F.lit(False)), ["id"]).count() == 0
+
+
+def test_every_claim_gets_a_context_that_does_not_fit(spark):
+    same = "the pressure of the sample depends on the membrane"
+    contexts = spark.createDataFrame([(i, "zzzzzz" if i == 777 else same) for i in range(2000)], "page long, text string")
+    claims = spark.createDataFrame([(i, same[i:]) for i in range(20)] + [(90, "zzzz"), (91, "ze"), (92, None)], "claim long, key string")
+    got = {r.claim: (r.page, r.shared) for r in verification.mismatched(claims, "claim", "key", contexts, "page", "text").collect()}
+    assert {c: got[c] for c in range(20)} == {c: (777, 0.0) for c in range(20)}
+    assert got[90][0] != 777 and got.keys() == {*range(20), 90}
+    nowhere = verification.mismatched(claims, "claim", "key", contexts.where("page != 777"), "page", "text")
+    assert [r.claim for r in nowhere.collect()] == [90]
+    assert verification.mismatched(claims, "claim", "key", contexts.limit(0), "page", "text").count() == 0
