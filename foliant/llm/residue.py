@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from foliant.llm.arrow import emit_rows
 from foliant.session import broadcast_if_small, ensure_checkpoint_dir
 
-#: A context is text about marks when it holds one and the same mark in at least this many fields.
+#: A context is text about marks when it holds one and the same mark in at least this many different values; copies count once.
 CONSTANT_FIELDS = 3
 #: A sentence is a template's when at least so many names stand in its slot.
 SLOT_NAMES = 3
@@ -147,15 +147,17 @@ def find_residue(fields: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(fields.sparkSession)
     text = T.StringType()
+    # a citation tells values apart only where it quotes a mark of the book
+    told = F.xxhash64(F.trim(F.regexp_replace("value", r"\s*\[p\.[^\]{}$%<>@#_]*\]\s*$", "")))
     seen = emit_rows(
-        fields.where("value IS NOT NULL"),
-        ["block_no", "field_no"],
+        fields.where("value IS NOT NULL").withColumn("told", told),
+        ["block_no", "field_no", "told"],
         ["value"],
         [("kind", text), ("context", text), ("name", text), ("edge", T.BooleanType())],
         signs,
     ).checkpoint()  # few rows, which four plans below read
     marks = seen.where("kind = 'mark'")
-    contexts = marks.groupBy("context").agg(F.count_distinct("name").alias("names"), F.count("*").alias("times"))
+    contexts = marks.groupBy("context").agg(F.count_distinct("name").alias("names"), F.count_distinct("told").alias("times"))
     constant = contexts.where((F.col("names") == 1) & (F.col("times") >= CONSTANT_FIELDS)).select("context")
     inner = marks.where("NOT edge").join(constant, "context", "left_anti")
     direct = seen.where("kind != 'mark' OR edge").unionByName(inner).select("block_no", "field_no", "kind")

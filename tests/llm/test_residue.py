@@ -29,6 +29,13 @@ def test_constant_marks_within_sentences_are_subjects(spark):
     assert got == {5, 6, 7}
 
 
+def test_copies_of_one_unfilled_slot_are_residue(spark):
+    copies = ["Dear {{name}}, welcome to the course"] * 4 + [f"Dear {{{{name}}}}, welcome to the course [p. {i}]" for i in range(3)]
+    shell = [f"In case {i} the shell expands ${{HOME}} before the command" for i in "abc"] * 2
+    got = {r.field_no for r in find_residue(table(spark, copies + shell)).collect()}
+    assert got == set(range(7))
+
+
 def test_sentences_with_exchanged_names_are_templates(spark):
     names = ["unit", "term", "page", "year"]
     marks = [m.replace("n", n) for n in names for m in ("{{n}}", "${n}")]
