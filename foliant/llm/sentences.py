@@ -196,7 +196,7 @@ def language_of(text: str, hint: str | None = None) -> str:
         return hint if best == "zh" and hint == "ja" else best
     if hint in _STOP:
         return hint
-    words = regex.findall(r"\p{L}+", canonical(text[:20000]).casefold())
+    words = regex.findall(r"\p{L}+", canonical(text).casefold())
     votes = {lang: sum(w in stop for w in words) for lang, stop in _STOP.items()}
     return max(votes, key=lambda k: votes[k])
 

@@ -60,3 +60,9 @@ def test_table(spark):
     assert got.where("page_id IN (2, 3, 4)").count() == 0
     assert sentences(pages.where(F.lit(False)), lang_col="lang").count() == 0
     assert sentences(pages, with_text=True).where("page_id = 1").first().sentence == "It fell."
+
+
+def test_language_is_told_from_the_whole_text():
+    from foliant.llm.sentences import language_of
+
+    assert language_of("The end of the flux is in the book. " * 600 + "Der Strom ist von der Zeit und dem Weg. " * 3000) == "de"
