@@ -9,7 +9,7 @@ GOOD = [
 BAD = [
     "{{ chapter }}", "${answer}", "%YEAR%", "<%= name %>", "[insert quote here]", "(page to follow)", "TODO: write the unit", "The unit is @@unit@@ and its name is @@unit@@.", "Membrane __QUOTE__", "Lorem ipsum dolor sit amet elit nisi.", "404 Not Found",
     "503 Service Unavailable. Try again in 9 seconds.", "Please enable JavaScript to view this page.", "Bitte aktivieren Sie JavaScript, um fortzufahren.", "Для работы сайта включите JavaScript.", "[object Object]", "undefined", '[p.N: "..."]', "xxxxxxxxxx", "Wrong: <mistake> | Right: <what the book says>",
-    "Traceback (most recent call last): File \"a.py\", line 2 KeyError: 'x'", "blah blah blah", "#REF!",
+    "Oops! Something went wrong on our end.", "asdf asdf asdf", "Traceback (most recent call last): File \"a.py\", line 2 KeyError: 'x'", "blah blah blah", "#REF!",
 ]
 
 
@@ -55,3 +55,24 @@ def test_table_cases(spark):
     assert find_residue(fields.unionByName(fields)).count() == 2
     assert find_residue(fields.where(F.lit(False))).count() == 0
     assert signs(None) == []
+
+
+def test_slots_are_induced_without_a_known_way_of_writing(spark):
+    names = ["unit", "term", "page", "year"]
+    ways = ["【请填写n】", "~~n~~", "[[bitte n eintragen]]"]
+    marks = [w.replace("n】", f"{x}】").replace("~n~", f"~{x}~").replace(" n ", f" {x} ") for x in names for w in ways]
+    good = ["The ~flux~ is small", "A [closed system] at rest", "T[i] < T[j] for all"]
+    rows = find_residue(table(spark, marks + good)).collect()
+    assert {r.field_no for r in rows} == set(range(len(marks)))
+    assert {r.reason for r in rows} == {"slot"}
+
+
+def test_repeated_defaults_and_pages_say_so(spark):
+    values = ["test test 1", "test test 2", "test test 3", "no no", *[f"Error {n}: the server could not be found on this server." for n in (404, 410, 500)], "Access denied. Go away"]
+    got = {r.field_no: r.reason for r in find_residue(table(spark, values)).collect()}
+    assert got == {0: "default", 1: "default", 2: "default", 4: "page", 5: "page", 6: "page", 7: "message"}
+
+
+def test_marks_quoted_by_the_citation_stand_in_the_book(spark):
+    values = ['Here ${NOW} is the time [p.4: "Here ${NOW} is"]', 'Dear {{name}}, welcome [p.4: "welcome"]']
+    assert {r.field_no for r in find_residue(table(spark, values)).collect()} == {1}
