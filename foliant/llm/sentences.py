@@ -8,8 +8,10 @@ and look-alike characters do not hide an abbreviation.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import regex
 from pyspark.sql import DataFrame
@@ -37,16 +39,19 @@ ENDING = {
     "es": "etc UU EE.UU p.m a.m J.C",
     "ru": "т.д т.п и.т.д г гг в вв н.э до.н.э",
 }
-#: Words that start sentences, by language; they part a sentence end from an initial or an ordinal.
+#: Words that start sentences, by language: articles, pronouns, question words, prepositions and conjunctions. They part a sentence end from an
+#: initial or an ordinal.
 STARTERS = {
-    "en": "The A An In On At By For To It If As When While This That These Those There Is Are Was Were How Who What Why Where Both Every No Near According Students Much Write Plot Compare Doubling Heating Under Strictly Three Salts Use Whoever And But So Then See Growers Old Never Wait",
-    "de": "Der Die Das Ein Eine Einer Im Am In Zwischen Wenn Für Man Ist Außerdem Vgl Es Er Sie Wir Und Aber Auch Nach Vor Bei Mit Von Zu Gemessen Salze",
-    "fr": "Le La Les L’ Un Une On Il Elle Entre Quand Vers Pourquoi D’après Voir Et Mais Dans Pour Quelle Quel",
-    "es": "El La Los Las Un Una En Entre Según Para Cuando Después Véase Se Y Pero Sales Vive A",
-    "ru": "В На Из Для Между Когда Почему Соли См Масса Опыт Ученики И Но Это Он Она Они По При Значение",
+    "en": "The A An This That These Those It He She We They You There Here Who What Which Where When Why How Is Are Was Were Do Does Did In On At By For From To Of With Under Over Near After Before Between During Since Until If As While Although Because Unless Whoever And But Or So Then Both Every Each No Not All Some Many Most Much",
+    "de": "Der Die Das Den Dem Ein Eine Einer Eines Dieser Diese Dieses Es Er Sie Wir Ich Man Wer Was Wo Wann Warum Wie Welche Ist Sind War In Im Am An Auf Aus Bei Mit Nach Von Vor Zu Zum Zur Zwischen Für Durch Über Unter Seit Während Wenn Als Weil Da Ob Und Aber Oder Doch Auch So Dann Hier Dort Jeder Jede Alle Viele Kein Keine",
+    "fr": "Le La Les L’ Un Une Des Ce Cette Ces Il Elle Ils Elles On Nous Vous Je Qui Que Quoi Où Quand Pourquoi Comment Quel Quelle Quels Est En Dans Sur Sous Par Pour Avec Sans Entre Vers Chez Avant Après Depuis Pendant D’après Selon Si Comme Lorsque Mais Et Ou Donc Alors Ici Chaque Tous Toutes",
+    "es": "El La Los Las Lo Un Una Unos Unas Este Esta Estos Estas Ese Esa Eso Esto Él Ella Ellos Se Quién Qué Dónde Cuándo Cómo Es Son En De Con Por Para Sin Sobre Entre Desde Hasta Según Tras Ante Antes Después Durante Si Cuando Como Aunque Porque Y Pero O Así Aquí Cada Todo Todos No",
+    "ru": "В На Из С К О Об От До По При Про За Над Под Между Для Без После Перед Через Это Этот Эта Эти Тот Он Она Оно Они Мы Вы Я Кто Что Где Когда Почему Как Какой И А Но Или Если Чтобы Хотя Так Затем Здесь Там Каждый Все Не",
 }
 #: German words after an ordinal number.
 ORDINAL_NOUNS = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember Jahrhundert Auflage Kapitel Klasse Band Teil Absatz Mal Grad Ordnung Stufe"
+#: English words after an hour that carry on the sentence.
+AFTER_HOURS = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December GMT UTC EST EDT CST CDT MST MDT PST PDT BST CET CEST Eastern Central Mountain Pacific"
 #: Chinese and Japanese words that carry on a sentence after a quotation.
 CARRY_ON = {"zh": r"[^。！？“”]{0,8}?(?:说|问|答|道|喊|想|写|然后|并|便|就|这|，|、|的)", "ja": r"(?:と|って|、|，|の|は|が|を|に|で|も|など|という)"}
 
@@ -108,6 +113,11 @@ def rules(lang: str) -> list[Rule]:
             _rule(True, r"\p{N}\.", starters),
             _rule(False, r"(?<![\p{L}\p{N}.,])\p{N}{1,2}\.", r"\p{Lu}"),
         ]
+    if own[0] == "en":  # hours and "etc." end a sentence before any capital but that of a day, a month or a time zone
+        table += [
+            _rule(False, rf"{word}[ap]\.\s?m\.", rf"(?:{'|'.join(AFTER_HOURS.split())})(?![\p{{L}}\p{{N}}])"),
+            _rule(True, rf"{word}(?:[ap]\.\s?m|etc)\.{close}", r"[\p{Ps}\p{Pi}\"]*\p{Lu}"),
+        ]
     if lang == "fr":
         table.append(_rule(False, rf"{word}M{{1,2}}\.", r"\p{Lu}"))
     if lang == "ru":
@@ -166,7 +176,7 @@ def quoted_spans(text: str) -> list[tuple[int, int]]:
                     break
         elif ch in _PAIRS:
             stack.append((m.end(), ch))
-    return sorted(s for s in spans if s[1] - s[0] <= 600)
+    return sorted(spans)
 
 
 _STOP = {
@@ -201,6 +211,27 @@ def language_of(text: str, hint: str | None = None) -> str:
     return max(votes, key=lambda k: votes[k])
 
 
+#: Characters before and after a candidate that the longest rule can span, apart from runs of closing marks and invisible characters.
+BEFORE, AFTER = 60, 40
+_RUN = "".join(c for c in _CLOSE if c != "\\") + ".…!?؟。！？ \u00a0\u2009\u202f"
+
+
+def _before(text: str) -> str:
+    """The end of a text that rules look at: BEFORE characters and the closing marks behind them."""
+    kept = len(text.rstrip(_RUN))
+    return text[max(0, kept - BEFORE) :]
+
+
+def _after(line: str, at: int) -> str:
+    """The text from a place on that rules look at: AFTER characters in canonical form."""
+    size = AFTER
+    while True:
+        look = canonical(regex.sub(r"\p{Cf}", "", line[at : at + size]))
+        if len(look) >= AFTER or at + size >= len(line):
+            return look[:AFTER]
+        size *= 2
+
+
 def _breaks(table: list[Rule], before: str, after: str) -> bool:
     for rule in table:
         if rule.after.match(after) and rule.before.search(before):
@@ -219,8 +250,9 @@ def sentence_spans(text: str | None, lang: str | None = None) -> list[tuple[int,
     lang = language_of(text, lang)
     table, wide = rules(lang), _wide_rules(lang)
     inside = quoted_spans(text)
+    starts = [a for a, _ in inside]
+    reach = list(accumulate((b for _, b in inside), max))  # how far the spans up to here go
     out, at = [], 0
-    nxt = 0
     for line in text.split("\n"):
         start, stop = at, at + len(line)
         at = stop + 1
@@ -237,21 +269,17 @@ def sentence_spans(text: str | None, lang: str | None = None) -> list[tuple[int,
                 if follow <= head or end <= unit:
                     continue
                 place = start + end
-                while nxt and (nxt >= len(inside) or inside[nxt][0] > place):
-                    nxt -= 1
-                if any(a < place <= b for a, b in inside[max(0, nxt - 8) :] if a <= place):
+                spans_before = bisect_left(starts, place)
+                if spans_before and reach[spans_before - 1] >= place:
                     continue
                 if spaced is None:
                     cuts.append(follow)
                     unit = follow
                     continue
-                before, after = line[unit:end][-60:], line[follow : follow + 40]
+                before = _before(regex.sub(r"\p{Cf}", "", line[unit:end]) if not spaced else line[unit:end])
                 if spaced:
-                    before, after = regex.sub(r"\s+(?=[»”])", "", canonical(before)), canonical(after)
-                    ok = _breaks(table, before, after)
-                else:
-                    before, after = regex.sub(r"\p{Cf}", "", before), regex.sub(r"\p{Cf}", "", after)
-                    ok = _breaks(wide, before, after)
+                    before = regex.sub(r"\s+(?=[»”])", "", canonical(before))
+                ok = _breaks(table if spaced else wide, before, _after(line, follow))
                 # in scripts without capitals a quotation within a sentence leaves it open
                 if ok and lang in ("ar", "hi") and before[-1:] in "”»" and regex.search(r"\S.*[“«]", line[unit:end]):
                     ok = False

@@ -66,3 +66,26 @@ def test_language_is_told_from_the_whole_text():
     from foliant.llm.sentences import language_of
 
     assert language_of("The end of the flux is in the book. " * 600 + "Der Strom ist von der Zeit und dem Weg. " * 3000) == "de"
+
+
+def test_long_quotations_do_not_divide_a_sentence():
+    for times in (3, 200):
+        text = "She wrote: “" + "It rained. We stayed in. " * times + "Then we left” and closed the book. The end came soon."
+        assert [text[a:b] for a, b in sentence_spans(text, "en")][-1] == "The end came soon."
+        assert len(sentence_spans(text, "en")) == 2
+
+
+def test_many_quotations_before_a_place_all_count():
+    text = "(One. Two " + "(a. B) " * 20 + "three. Four) end. Next one."
+    assert len(sentence_spans(text, "en")) == 2
+
+
+def test_runs_of_marks_and_invisible_characters_are_no_bound():
+    far = "\u200b" * 90
+    assert len(sentence_spans(f"It weighed 5 kg. {far}The rest was lost.", "en")) == 2
+    assert len(sentence_spans("So he waited" + "." * 90 + " and went on. Done.", "en")) == 2
+
+
+def test_hours_and_etc():
+    assert len(sentence_spans("The run began at 3 a.m. Gravel was found, etc. Nobody knew.", "en")) == 3
+    assert len(sentence_spans("It opens at 9 a.m. Monday or 9 a.m. EST by choice.", "en")) == 1
