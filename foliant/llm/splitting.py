@@ -85,14 +85,16 @@ def _whole_character(text: str, at: int, least: int) -> int:
 def cut_points(text: str, max_chars: int, overlap: int) -> list[tuple[int, int]]:
     """Start and end of every piece.
 
-    Each piece has at most max_chars characters and starts overlap characters before the end of the one before. An overlap of
-    half the limit or more is cut to just under half, so that every piece brings new text. A text within the limit is one
+    Each piece has at most max_chars characters and starts overlap characters before the end of the one before. An overlap must be
+    smaller than the limit, as every piece brings new text; a larger one is refused (ValueError). A text within the limit is one
     piece, an empty one too. Cuts fall on the deepest valley in the upper part of the window, on the end of the window where it has no
     boundary at all.
     """
     n = len(text)
     max_chars = max(1, max_chars)
-    overlap = min(max(0, overlap), max(0, (max_chars - 1) // 2))
+    overlap = max(0, overlap)
+    if overlap >= max_chars:
+        raise ValueError(f"an overlap of {overlap} characters leaves no room for new text within {max_chars}")
     if n <= max_chars:
         return [(0, n)]
     marks = [(m.end(), BONUS[m.lastgroup]) for m in _GAP.finditer(text) if 0 < m.end() < n]
@@ -123,7 +125,7 @@ def split_items(items: DataFrame, limits: DataFrame, with_text: bool = True) ->
     items: item_kind, item_id, read_no, tier, text. limits: item_kind, tier, max_chars, overlap_chars. Result: item_kind,
     item_id, read_no, piece_no, n_pieces, start_char, end_char and, unless with_text is false, the piece. Kinds and tiers agree
     without regard to case and outer spaces; of several limits of one tier the smallest counts. Items without text, tier or a limit, and items
-    within it, give no row. Repeated items come out as often as they came in; empty tables give an empty result; other columns are not read.
+    within it, give no row. A limit whose overlap is as large as itself is refused (ValueError). Repeated items come out as often as they came in; empty tables give an empty result; other columns are not read.
     """
     name = lambda c: F.lower(F.trim(c))
     items = items.select("item_kind", "item_id", "read_no", "tier", "text")
@@ -133,6 +135,8 @@ def split_items(items: DataFrame, limits: DataFrame, with_text: bool = True) ->
         .agg(F.min(F.struct("max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap"))).alias("b"))
         .select(F.col("item_kind").alias("__kind"), "__tier", F.col("b.max_chars").alias("max_chars"), F.col("b.overlap").alias("overlap"))
     )
+    if bound.where("overlap >= max_chars").limit(1).count():
+        raise ValueError("an overlap must be smaller than its limit")
     bound = broadcast_if_small(bound)
     over = items.join(bound, (name(items["item_kind"]) == bound["__kind"]) & (name(items["tier"]) == bound["__tier"]))
     over = over.where(F.char_length(items["text"]) > F.col("max_chars"))

@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -8,11 +9,14 @@ from foliant.llm.splitting import all_items, cut_points, split_items
 @settings(deadline=None, max_examples=150)
 @given(st.text(alphabet="ab .\n。é‍", max_size=400), st.integers(1, 60), st.integers(0, 80))
 def test_pieces_cover_the_text_within_the_limit(text, most, overlap):
+    if overlap >= most:
+        with pytest.raises(ValueError):
+            cut_points(text, most, overlap)
+        return
     cuts = cut_points(text, most, overlap)
-    kept = min(overlap, max(0, (most - 1) // 2))
     assert cuts[0][0] == 0 and cuts[-1][1] == len(text)
     assert all(b - a <= most for a, b in cuts)
-    assert all(c == b - kept and d > b for (_, b), (c, d) in zip(cuts, cuts[1:]))
+    assert all(c == max(0, b - overlap) and d > b for (_, b), (c, d) in zip(cuts, cuts[1:]))
 
 
 def test_cut_falls_where_the_topic_changes():
@@ -23,6 +27,18 @@ def test_cut_falls_where_the_topic_changes():
     assert cut == len(one) + 1
 
 
+def test_large_overlaps_are_kept():
+    assert [(b - a) for a, b in cut_points("y" * 500, 100, 80)][:3] == [100, 100, 100]
+    assert cut_points("y" * 130, 100, 80) == [(0, 100), (20, 120), (40, 130)]
+
+
+def test_limits_with_too_large_an_overlap_are_refused(spark):
+    items = spark.createDataFrame([("page", 1, 0, "any", "z" * 50)], "item_kind string, item_id long, read_no int, tier string, text string")
+    limits = spark.createDataFrame([("page", "any", 10, 10)], "item_kind string, tier string, max_chars int, overlap_chars int")
+    with pytest.raises(ValueError):
+        split_items(items, limits)
+
+
 def test_no_boundary_at_all():
     assert cut_points("x" * 25, 10, 2) == [(0, 10), (8, 18), (16, 25)]
 
