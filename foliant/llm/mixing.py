@@ -11,9 +11,8 @@ from pyspark.sql import types as T
 from foliant.llm import tokens as tok
 from foliant.session import broadcast_if_small, ensure_checkpoint_dir, stable_hash
 
-#: Documents of one source that get a common sequence of draws; larger sources are divided by hash.
-GROUP_ROWS = 20_000
-GOLDEN = (math.sqrt(5) - 1) / 2
+#: Bits of a document's draw.
+DRAW_BITS = 52
 
 
 def source_key(source: Column) -> Column:
@@ -22,14 +21,17 @@ def source_key(source: Column) -> Column:
     return F.when(key != "", key)
 
 
+def poisson_terms(mu: float, cap: int) -> list[float]:
+    """Probabilities of 0, 1, .. cap - 1 events at mean mu, by logarithms, so that no mean is too large."""
+    if mu <= 0:
+        return [1.0, *[0.0] * (cap - 1)][:cap]
+    return [math.exp(k * math.log(mu) - mu - math.lgamma(k + 1)) for k in range(cap)]
+
+
 def capped_poisson_mean(mu: float, cap: int) -> float:
     """Mean of min(Poisson(mu), cap)."""
-    p, below, mean = math.exp(-mu), 0.0, 0.0
-    for k in range(cap):
-        mean += k * p
-        below += p
-        p *= mu / (k + 1)
-    return mean + cap * max(0.0, 1.0 - below)
+    terms = poisson_terms(mu, cap)
+    return sum(k * p for k, p in enumerate(terms)) + cap * max(0.0, 1.0 - math.fsum(terms))
 
 
 def capped_poisson_cumulative(rate: float | None, cap: int | None) -> list[float] | None:
@@ -38,15 +40,16 @@ def capped_poisson_cumulative(rate: float | None, cap: int | None) -> list[float
         return None
     if rate >= cap:
         return [0.0] * cap
-    low, high = 0.0, 700.0
-    for _ in range(80):
+    low, high = 0.0, float(cap)
+    while capped_poisson_mean(high, cap) < rate and high < 1e9:
+        low, high = high, 2 * high
+    for _ in range(100):
         mid = (low + high) / 2
         low, high = (mid, high) if capped_poisson_mean(mid, cap) < rate else (low, mid)
-    p, total, out = math.exp(-low), 0.0, []
-    for k in range(cap):
+    out, total = [], 0.0
+    for p in poisson_terms(high, cap):
         total += p
-        out.append(total)
-        p *= low / (k + 1)
+        out.append(min(1.0, total))
     return out
 
 
@@ -74,6 +77,25 @@ def source_rates(sizes: DataFrame, targets: DataFrame, total_tokens: float | Non
     return both.withColumn("rate", F.when(F.col("share").isNotNull(), rate))
 
 
+def _steps(rate: Column, cap: Column) -> Column:
+    """capped_poisson_cumulative() of two columns."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(rates, caps):
+        import pandas as pd
+
+        bound = [None if pd.isna(c) else int(c) for c in caps]
+        return pd.Series([capped_poisson_cumulative(None if pd.isna(r) else float(r), c) for r, c in zip(rates, bound)], dtype=object)
+
+    return run(rate, cap)
+
+
+def _draw(doc_id: Column, text: Column, seed: int) -> Column:
+    """A number in [0, 1) from the seed, id and text."""
+    bits = F.shiftrightunsigned(stable_hash(doc_id, text, seed=seed), 64 - DRAW_BITS)
+    return bits / F.lit(float(1 << DRAW_BITS))
+
+
 def mix(
     documents: DataFrame,
     targets: DataFrame,
@@ -87,10 +109,10 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """(report, repeats): the shares reached by each target source, and each used document with its number of copies.
 
-    The number of copies is an inverted Poisson distribution cut at max_repeats whose mean is the source's rate. The draws
-    of a source's documents in order of size follow a golden-ratio sequence from a hashed start, so that totals stay
-    close to the target in small sources too. Documents without text or without a target source are never used; repeated rows
-    count as documents of their own. Empty tables give empty results, sources without documents a report row of zeros.
+    The number of copies is an inverted Poisson distribution cut at max_repeats whose mean is the source's rate, at a draw that is a hash of
+    the seed, the document's id and its text: a document's draw does not depend on other documents, and no source is ranked or brought together. Shares are reached within the
+    chance of the draws, which falls with the square root of a source's documents; the report says what came out. Documents without text or without a target source are never used; repeated rows
+    have the same draw, rows of one id with other texts draws of their own. Empty tables give empty results, sources without documents a report row of zeros.
     """
     path = tok.vocabulary_path(tokenizer, tokenizer_dir)
     sized = (
@@ -101,20 +123,14 @@ def mix(
         )
         .where("source IS NOT NULL AND text IS NOT NULL AND text != ''")
         .join(broadcast_if_small(targets.select(source_key(targets["source"]).alias("source")).distinct()), "source", "left_semi")
-        .select("doc_id", "source", tok.token_count(F.col("text"), path).alias("n_tokens"))
+        .select("doc_id", "source", _draw(F.col("doc_id"), F.col("text"), seed).alias("u"), tok.token_count(F.col("text"), path).alias("n_tokens"))
     )
     ensure_checkpoint_dir(documents.sparkSession)
     sized = sized.checkpoint()  # tokens are counted once; two results read them
     rates = source_rates(sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")), targets, total_tokens)
-    cumulative = F.udf(capped_poisson_cumulative, T.ArrayType(T.DoubleType()))  # one row for each target
-    plan = rates.select("source", "rate", "max_repeats", "n_docs", cumulative("rate", "max_repeats").alias("steps"))
-
-    part = F.pmod(stable_hash("doc_id", seed=seed + 1), F.ceil(F.col("n_docs") / GROUP_ROWS))
-    draws = sized.join(broadcast_if_small(plan.where("rate > 0")), "source").withColumn("part", part)
-    group = Window.partitionBy("source", "part").orderBy("n_tokens", stable_hash("doc_id", seed=seed), "doc_id")
-    start = F.pmod(stable_hash("source", "part", seed=seed + 2), F.lit(1 << 30)) / float(1 << 30)
-    spot = F.row_number().over(group) * F.lit(GOLDEN) + start
-    draws = draws.withColumn("u", spot - F.floor(spot))
+    plan = rates.select("source", "rate", "max_repeats", _steps(F.col("rate"), F.col("max_repeats")).alias("steps"))
+
+    draws = sized.join(broadcast_if_small(plan.where("rate > 0")), "source")
     repeats = draws.withColumn("copies", F.size(F.filter("steps", lambda c: c <= F.col("u")))).where("copies > 0")
     repeats = repeats.select("doc_id", "source", "n_tokens", "copies")
 

@@ -62,3 +62,29 @@ def test_empty_tables(spark):
     assert repeats.count() == 0 and report.count() == 4
     report, repeats = mixing.mix(docs, targets.where(F.lit(False)))
     assert repeats.count() == 0 and report.count() == 0
+
+
+def test_draws_do_not_depend_on_other_documents(spark):
+    docs, targets = table(spark)
+    only = targets.where("source IN ('big', 'other')")
+    both = docs.where("lower(trim(source)) IN ('big', 'other') AND text IS NOT NULL")
+    few, all_ = both.where("doc_id % 5 = 0"), both
+    # the same rate by a total in proportion to the documents
+    sizes = lambda df: {r.source: r.n_tokens for r in mixing.mix(df, only)[0].collect()}
+    assert set(sizes(few)) == {"big", "other"}
+    a = {r.doc_id: r.copies for r in mixing.mix(few, only, total_tokens=1e9)[1].collect()}
+    b = {r.doc_id: r.copies for r in mixing.mix(all_, only, total_tokens=1e9)[1].collect()}
+    assert all(b[k] == n for k, n in a.items())
+    u = lambda df: {r[0]: r[1] for r in df.select("doc_id", mixing._draw(F.col("doc_id"), F.col("text"), 0)).collect()}
+    assert all(u(all_)[k] == v for k, v in u(few).items()) and all(0 <= v < 1 for v in u(all_).values())
+
+
+def test_draws_are_even(spark):
+    draws = spark.range(20000).select(mixing._draw(F.col("id"), F.lit("same"), 3).alias("u"))
+    counts = draws.groupBy(F.floor(F.col("u") * 10)).count().collect()
+    assert len(counts) == 10 and all(abs(r["count"] - 2000) < 250 for r in counts)
+
+
+def test_large_caps_reach_their_rate():
+    steps = mixing.capped_poisson_cumulative(900.0, 1000)
+    assert abs(sum(1 - c for c in steps) - 900.0) < 1e-3
