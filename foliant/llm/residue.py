@@ -228,7 +228,7 @@ def _plain_slots(looks: DataFrame, names: DataFrame) -> DataFrame:
     every = emit_rows(looks.select("look"), [], ["look"], [("frame", text), ("name", text)], lambda x: plain_frames(x, frames=chosen)).distinct()
     if chosen is None:
         every = every.join(likely, "frame", "left_semi")
-    slots = _slots(every, names, PLAIN_PURITY)
+    slots = _slots(every, names, PLAIN_PURITY).checkpoint()  # few rows; counting them must not read all looks again
     return of_names.join(broadcast_if_small(slots), "frame", "left_semi").select("look").distinct()
 
 
@@ -253,7 +253,7 @@ def find_residue(fields: DataFrame) -> DataFrame:
     signed = seen.where("kind = 'sign'")
     several = signed.groupBy("frame").agg(F.count_distinct("name").alias("words")).where(F.col("words") >= SLOT_NAMES).select("frame")
     names = signed.join(several, "frame", "left_semi").groupBy("name").agg(F.count_distinct("frame").alias("slots")).where(F.col("slots") >= NAME_SLOTS).select("name").checkpoint()
-    held = signed.join(broadcast_if_small(_slots(signed, names, SIGN_PURITY)), "frame", "left_semi").join(broadcast_if_small(names), "name", "left_semi")
+    held = signed.join(broadcast_if_small(_slots(signed, names, SIGN_PURITY).checkpoint()), "frame", "left_semi").join(broadcast_if_small(names), "name", "left_semi")
 
     # a context that always holds one and the same mark is text about marks, and so is one whose citation quotes a mark
     marks = seen.where("kind IN ('mark', 'sign') AND around IS NOT NULL")
