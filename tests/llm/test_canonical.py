@@ -1,9 +1,12 @@
+import re
+import unicodedata
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from foliant.llm.canonical import MappingConflict, _rules, canonical, canonical_text, hidden_quotes
+from foliant.llm.canonical import MappingConflict, _rules, canonical, canonical_text, hidden_quotes, transducer
 
 SAME = [
     ("ｔｈｅ　ｌａｙｏｕｔ", "the layout"), ("ﬁnd the ﬂow", "find the flow"), ("café", "café"), ("th‍e sam\xadple﻿", "the sample"), ("a\xa0b c d", "a b c d"), ("Ρrüfung vіѕ", "Prüfung vis"),
@@ -44,3 +47,29 @@ def test_quotes(spark):
     assert got == [(1, 1), (1, 1), (1, 2), (1, 2), (9, 5)]
     assert hidden_quotes(checks.where(F.lit(False)), pages).count() == 0
     assert [r[0] for r in pages.select(canonical_text(F.col("text"))).where("page_id = 3").collect()] == [None]
+
+
+def settled_by_brute_force(text):
+    """Whole passes over the text until nothing changes, where the transducer reads it once."""
+    single, before = transducer().single, None
+    while text != before:
+        before = text
+        text = "".join(single.get(c, c) for c in unicodedata.normalize("NFC", text))
+    return re.sub(" {2,}", " ", text)
+
+
+CLUSTERS = "ab eéÅА\u0301\u0302\u0308 ё\u0327\u200b\u200d\xa0\u3000  \nｅﬁ\tй\u1100\u1161\u11a8각\u0902\u0947\u093cनक़\u0327\u0316ＡＫаοꓮ"
+
+
+@settings(deadline=None, max_examples=600)
+@given(st.text(alphabet=CLUSTERS, max_size=24))
+def test_one_pass_equals_brute_force(text):
+    assert canonical(text) == settled_by_brute_force(text)
+
+
+def test_conflicting_rules_are_refused(monkeypatch):
+    from foliant.llm import canonical as module
+
+    monkeypatch.setitem(module.SAME_SIGN, "\uff21", "B")  # a full-width A
+    with pytest.raises(MappingConflict):
+        _rules()
