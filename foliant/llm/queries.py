@@ -106,7 +106,7 @@ def p6_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return webspam.find_spam(_texts(spark, sf_dir, "documents", "doc_id")).select("doc_id")
+    return webspam.find_spam(_texts(spark, sf_dir, "documents", "doc_id", "lang"), lang_col="lang").select("doc_id")
 
 
 QUERIES: dict = {

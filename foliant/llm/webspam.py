@@ -1,35 +1,26 @@
 """Pages of repeated keywords, link lists and product tags.
 
-A text is read as lines and each line as segments between separators. Link-text ratio, share of tags, product marks, share
-of repeated segments and top words, separator density and the lack of function words decide for each line whether it
-is spam; a document is when most of its characters lie in such lines. Thresholds on words hold per language; for scripts
-without spaces, characters take the place of words.
+One pass reads every text as lines and each line as segments between separators. Link-text ratio, tags, product marks, repeated
+segments, separator density and the lack of function words make a line spam. The same pass gives the numbers of the whole text: share of function
+words, share of the most frequent pair of words, share of different words, length of segments, and the words behind the first of short
+segments. Thresholds on these numbers are calibrated per language: medians and quartiles over all documents of the language. Of the words of
+segments, those of pages found so far and of hardly any other page are learned from all documents, per language, and tell lists of terms with such
+words from indexes and glossaries.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Phrases of sales and search pages, by language.
-SALES_PHRASES = {
-    "en": "buy; buy now; cheap; discount; free; free pdf; notes pdf; pdf download; best price; best prices; top 10; near me; online tutor; no signup; answer key; exam dumps; test bank; solutions manual; download; coupon; 2026; for sale",
-    "de": "kaufen; billig; günstig; kostenlos; download; angebot; rabatt; lösungen; nachhilfe; beste; pdf; gratis",
-    "fr": "acheter; pas cher; promo; gratuit; télécharger; corrigé; cours en ligne; meilleur; soldes; pdf",
-    "es": "comprar; barato; oferta; gratis; descargar; soluciones; clases online; mejor; descuento; pdf",
-    "ru": "купить; дёшево; дешево; скачать; бесплатно; скидка; ответы; решебник; онлайн; лучший; репетитор; акция",
-    "zh": "购买; 便宜; 免费; 下载; 优惠; 答案; 最佳; 打折; 价格; 在线; 题库",
-    "ja": "激安; 無料; ダウンロード; 解答; まとめ; 最新; 過去問; 購入; 通販; 安い",
-    "hi": "सस्ता; मुफ्त; डाउनलोड; खरीदें; ऑफर; उत्तर; छूट; ऑनलाइन",
-    "ar": "شراء; رخيص; مجانا; مجاني; تحميل; عرض; خصم; حلول; أفضل; سعر",
-    "th": "ราคาถูก; ฟรี; ดาวน์โหลด; ซื้อ; ส่วนลด; เฉลย; โปรโมชั่น",
-}
+from foliant.llm.arrow import emit_rows
+from foliant.session import broadcast_if_small, ensure_checkpoint_dir
+
 #: Frequent words that join others into sentences, by language; for scripts without spaces, endings and particles.
 FUNCTION_WORDS = {
     "en": "the a an of to in is are was were be and or that which this these it as by for with from on at has have not than when if so because whereas while does can may must we",
@@ -38,40 +29,15 @@ FUNCTION_WORDS = {
     "es": "el la los las un una y o es son que no para por con en al se su como cuando más lo sí ha fue",
     "ru": "и в на не что с по от для как это из к за при или чем во обычно есть был",
     "hi": "में है हैं की का के और से पर को ने नहीं जब तब भी एक",
+    "zh": "的 了 是 在 和 有 不 这 就 也 都 与 而 从 到 对 以",
+    "ja": "の は が を に で と も た て い",
     "ar": "في من على إلى عن أن مع هذا هذه كل ثم عندما التي الذي",
 }
 _JOINERS = {w for words in FUNCTION_WORDS.values() for w in words.split()}
-
-
-def _phrases(unspaced: bool) -> list[str]:
-    return [p for k, v in SALES_PHRASES.items() if (k in ("zh", "ja", "th")) == unspaced for p in v.split("; ")]
-
-
-
-
-@lru_cache(maxsize=1)
-def _sales_automaton():
-    import ahocorasick
-
-    automaton = ahocorasick.Automaton()
-    for unspaced in (False, True):
-        for phrase in _phrases(unspaced):
-            automaton.add_word(phrase.lower(), (len(phrase), unspaced))
-    automaton.make_automaton()
-    return automaton
-
-
-def sales_phrases(text: str) -> int:
-    """Number of sales phrases; the longest counts where several start. In scripts with spaces a phrase ends where a word ends."""
-    low = text.lower()
-    n, found = len(low), 0
-    for end, (length, unspaced) in _sales_automaton().iter_long(low):
-        start = end - length + 1
-        if unspaced or not (start and low[start - 1].isalnum()) and not (end + 1 < n and (low[end + 1].isalnum() or low[end + 1] in "ािीुूृेैोौं्")):
-            found += 1
-    return found
-
-
+_OF_LANGUAGE: dict[str, list[str]] = {}
+for _lang, _words in FUNCTION_WORDS.items():
+    for _word in _words.split():
+        _OF_LANGUAGE.setdefault(_word, []).append(_lang)
 
 _LINK = regex.compile(r"<a\b[^>]*>.*?</a>|!?\[[^\]\n]*\]\([^)\n]*\)|(?:https?://|www\.)[^\s<>\"')]+|<br\s*/?>", regex.I | regex.S)
 _TAG = regex.compile(r"(?<!\S)#[\p{L}\p{N}][\p{L}\p{M}\p{N}_-]*")
@@ -84,9 +50,21 @@ _THAI_RUN = regex.compile(r"\p{Thai}[\p{Thai}\p{M}]*")
 _UNSPACED = regex.compile(r"[\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}]")
 
 
+#: Labels of questions and answers.
+_LABEL = regex.compile(r"(?:^|\s)(?:\d{1,3}|\p{L})[.)](?=\s)", regex.M)
+#: A word, one character of Chinese or Japanese, or up to four letters of Thai.
+_TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]|\p{Thai}[\p{Thai}\p{M}]{0,3}|[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}'’-]*")
+
+
 @dataclass(frozen=True)
 class Limits:
-    """Thresholds; cjk_word and thai_word are the characters that count as a word."""
+    """Thresholds. cjk_word and thai_word are the characters that count as a word; the last group holds relative to a language's own figures.
+
+    A page is stuffed when the share of its top pair of words is over the median by pair_spread quartile ranges and that of different words under
+    variety times the median, if fewer than labels of its words are labels of questions. Function words are missing below joiners times the median. A language with fewer than lang_docs pages of at least
+    dense_words words takes the figures of all languages. A word of segments is a learned one when at least learned_docs found pages have it and
+    learned_ratio times as many as others.
+    """
 
     spam_share: float = 0.5
     link_share: float = 0.7
@@ -95,22 +73,27 @@ class Limits:
     segment_words: float = 4.5
     alpha_share: float = 0.7
     repeated_share: float = 0.4
-    sales_share: float = 0.12
-    joiner_share: float = 0.12
     top_share: float = 0.25
-    leading_share: float = 0.3
     cjk_word: float = 2.5
     thai_word: float = 5.0
-    bare_words: int = 16
-    dense_words: int = 30
-    keyword_density: float = 0.2
     bare_density: float = 0.6
+    dense_words: int = 30
+    pair_spread: float = 2.0
+    variety: float = 0.5
+    joiners: float = 0.3
+    labels: float = 0.08
+    tail_share: float = 0.12
+    lang_docs: int = 50
+    learned_docs: int = 3
+    learned_ratio: float = 4.0
 
 
 def _words_in(segment: str, limits: Limits) -> float:
     """Number of words; scripts without spaces count by characters."""
+    if segment.isascii():
+        return len(segment.split())
     if not _UNSPACED.search(segment):
-        return len(segment.split()) if segment.isascii() else len(_WORDS.findall(segment))
+        return len(_WORDS.findall(segment))
     cjk = len(_CJK.findall(segment))
     thai = sum(map(len, _THAI_RUN.findall(segment)))
     spaced = _THAI_RUN.sub(" ", _CJK.sub(" ", segment))
@@ -139,66 +122,32 @@ def keyword_density(text: str) -> tuple[float, float]:
 
 
 def _dense(text: str, limits: Limits) -> bool:
-    """One keyword phrase over and over, be it within sentences."""
-    parts = text.casefold().split()
-    sales = sales_phrases(text) >= 2
-    # a phrase that covers a share of the words leaves at most the rest of them, and itself, distinct
-    share = limits.keyword_density if sales else limits.bare_density
-    if len(set(parts)) > (1 - share) * len(parts) + 6 and not _UNSPACED.search(text):
+    """One keyword phrase over and over."""
+    if len(text) < limits.dense_words or max(Counter(text).values()) < 4:  # too short for ten words
         return False
     words, density = keyword_density(text)
-    if words >= limits.dense_words // 3 and density >= limits.bare_density:
-        return True
-    return sales and words >= limits.dense_words and density >= limits.keyword_density
-
-
-def _bare_string(text: str, limits: Limits) -> bool:
-    """A string of keywords without separators: many sales phrases, hardly a word that joins others."""
-    total = _words_in(text, limits)
-    if total < limits.bare_words or sales_phrases(text) < limits.sales_share * total:
-        return False
-    words = [w.casefold() for w in _WORDS.findall(text)]
-    joiners = sum(w in _JOINERS for w in words) / max(1, len(words))
-    return joiners < 2 * limits.joiner_share
+    return words >= limits.dense_words // 3 and density >= limits.bare_density
 
 
 def _stuffed(text: str, limits: Limits) -> bool:
     """Short segments, named again and again or strung between separators, where sentences should be."""
     segments = [s for s in (x.strip() for x in _SEPARATOR.split(text)) if s]
     if len(segments) < limits.segments:
-        return _bare_string(text, limits)
-    if len(text.split()) > 3 * limits.segment_words * len(segments) and not _UNSPACED.search(text):
-        return _bare_string(text, limits)
+        return False
     segments = [s for s in segments if len(s) > 1 or not s.isascii()]  # labels as in Q: and A: are no segments
     named = [s for s in segments if _WORDS.search(s) and not s.replace(" ", "").isdecimal()]
     if len(named) < limits.alpha_share * len(segments) or len(named) < limits.segments:
         return False
-    sizes = [_words_in(s, limits) for s in named]
-    long = sum(sizes) / len(sizes) > limits.segment_words
-    if sum(sizes) / len(sizes) > 3 * limits.segment_words:
-        return _bare_string(text, limits)
-    if long and sales_phrases(text) < 0.5 * len(named):
+    if sum(_words_in(s, limits) for s in named) > limits.segment_words * len(named):
         return False
     bags = [_WORDS.findall(s.casefold()) for s in named]
-    pairs = Counter(p for b in bags for p in {*zip(b, b[1:])})
-    leading = pairs.most_common(1)[0][1] / len(named) if pairs else 0.0
-    if long and leading < limits.leading_share:
-        return False
-    keys = Counter(" ".join(sorted(b)) for b in bags)
-    repeated = 1 - len(keys) / len(named)
+    repeated = 1 - len({" ".join(sorted(b)) for b in bags}) / len(named)
     words = Counter(w for b in bags for w in b)
-    total = sum(words.values())
-    joiners = sum(n for w, n in words.items() if w in _JOINERS) / max(1, total)
-    sales = sum(1 for s in named if sales_phrases(s)) / len(named)
-    strong = len(_STRONG.findall(text)) / len(segments)
-    top = words.most_common(1)[0][1] / max(1, total)
-    if long:
-        return sales >= 0.5
-    if sales >= limits.sales_share and (repeated >= 0.1 or strong >= 0.4 or joiners < limits.joiner_share):
-        return True
-    if strong >= 0.6 and joiners < 0.25:
+    total = max(1, sum(words.values()))
+    joiners = sum(n for w, n in words.items() if w in _JOINERS) / total
+    if len(_STRONG.findall(text)) >= 0.6 * len(segments) and joiners < 0.25:
         return True
-    return repeated >= limits.repeated_share and (joiners < 0.35 or top >= limits.top_share)
+    return repeated >= limits.repeated_share and (joiners < 0.35 or max(words.values()) >= limits.top_share * total)
 
 
 def line_kind(line: str, limits: Limits = Limits()) -> str | None:
@@ -232,30 +181,103 @@ def spam_share(text: str | None, limits: Limits = Limits()) -> float:
             spam += bare
         elif bare:
             rest.append(line)
-    short = [x for x in rest if _words_in(x, limits) <= 30]
-    together = ". ".join(short)
-    if len(short) >= 3 and (_stuffed(together, limits) or _dense(together, limits)):  # one keyword phrase to a line
-        spam += sum(len("".join(x.split())) for x in short)
+    if len(rest) >= 3 and spam <= limits.spam_share * total:
+        short = [x for x in rest if len(_SEPARATOR.split(x.strip())) < limits.segments]
+        together = ". ".join(short)
+        if len(short) >= 3 and (_stuffed(together, limits) or _dense(together, limits)):  # one keyword phrase to a line
+            spam += sum(len("".join(x.split())) for x in short)
     return spam / total
 
 
-def spam_share_of(text: Column, limits: Limits = Limits()) -> Column:
-    """spam_share() of a column."""
-
-    @F.pandas_udf(T.DoubleType())
-    def run(texts):
-        import pandas as pd
-
-        return pd.Series([spam_share(x, limits) for x in texts], dtype=float)
-
-    return run.asNondeterministic()(text)  # else a filter on the result is computed a second time below an exchange
-
-
-def find_spam(documents: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and spam_share of the documents most of whose text is spam, in one pass without a shuffle.
+def page_numbers(text: str, limits: Limits = Limits()) -> list[tuple]:
+    """(spam_share, language, words, joiners, pair, labels, variety, segment_words, segments, tails) of a text.
 
+    language is told by function words, null without any. pair is the share of words that the most frequent pair of words or word takes, labels that of labels
+    as in 1) and a). tails are the words behind the first of different short segments, with the number of segments; kept for pages of short segments only.
+    """
+    if not text or text.isspace():
+        return []
+    words = _TOKEN.findall(text.casefold())
+    n = len(words)
+    counts = Counter(words)
+    joiners, votes = 0, Counter()
+    for w, times in counts.items():
+        if w in _OF_LANGUAGE:
+            joiners += times
+            for lang in _OF_LANGUAGE[w]:
+                votes[lang] += times
+    # labels and numbers are no keywords
+    words = [w for w in words if not (w.isdecimal() or len(w) == 1 and w.isascii())]
+    pairs = Counter(zip(words, words[1:]))
+    top = 2 * next((times for (a, b), times in pairs.most_common() if a not in _JOINERS or b not in _JOINERS), 0)
+    top = max(top, max((times for w, times in Counter(words).items() if w not in _JOINERS), default=0))
+    segments = [s for s in (x.strip() for x in _SEPARATOR.split(text.replace("\n", "  "))) if s]
+    each = n / max(1, len(segments))
+    tails: Counter = Counter()
+    if each < 2 * limits.segment_words and len(segments) >= limits.segments:
+        for s in set(segments):
+            parts = s.casefold().split()
+            if 2 <= len(parts) <= 2 * limits.segment_words:
+                tails.update({w for w in parts[1:] if not w.strip("().").isdecimal()})
+    lang = max(votes, key=lambda x: (votes[x], x)) if votes else None
+    return [(spam_share(text, limits), lang, n, joiners / max(1, n), top / max(1, n), len(_LABEL.findall(text)) / max(1, n), len(counts) / max(1, n), each, len(segments), list(tails.items()))]
+
+
+_TAIL = T.StructType([T.StructField("tail", T.StringType()), T.StructField("n", T.IntegerType())])
+_NUMBERS = [
+    ("spam_share", T.DoubleType()), ("told_lang", T.StringType()), ("words", T.IntegerType()), ("joiners", T.DoubleType()), ("pair", T.DoubleType()), ("labels", T.DoubleType()),
+    ("variety", T.DoubleType()), ("segment_words", T.DoubleType()), ("segments", T.IntegerType()), ("tails", T.ArrayType(_TAIL)),
+]
+
+
+def language_limits(numbers: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """lang, docs, and the limits on pair share, variety and function words of every language; the row without lang holds for all others.
+
+    Medians and quartiles are exact: shares are counted in thousandths, so that a language needs at most a thousand counters.
+    """
+    sized = numbers.where(F.col("words") >= limits.dense_words).select("lang", *[F.round(c, 3).alias(c) for c in ("pair", "variety", "joiners")])
+    spread = lambda c, q: F.percentile(c, F.lit(q))
+    figures = [
+        F.count("*").alias("docs"),
+        (spread("pair", 0.5) + limits.pair_spread * (spread("pair", 0.75) - spread("pair", 0.25))).alias("most_pair"),
+        (limits.variety * spread("variety", 0.5)).alias("least_variety"),
+        (limits.joiners * spread("joiners", 0.5)).alias("least_joiners"),
+    ]
+    own = sized.where("lang IS NOT NULL").groupBy("lang").agg(*figures).where(F.col("docs") >= limits.lang_docs)
+    return own.unionByName(sized.agg(*figures).withColumn("lang", F.lit(None).cast("string")))
+
+
+def find_spam(documents: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """id, spam_share and reason of the documents most of whose text is spam.
+
+    reason is lines (most characters lie in lines of spam), stuffed (a keyword phrase over and over) or listed (terms with words that only spam ends them with). The texts are read once,
+    without a shuffle; what is shuffled are counts by language. lang_col is a hint; without it the language is told from function words.
     Null, empty and blank texts are never spam; repeated rows come out as often as they came in; a null id stays null; an
     empty table gives an empty one. Other columns are not read.
     """
-    scored = documents.select(documents[id_col], spam_share_of(documents[text_col], limits).alias("spam_share"))
-    return scored.where(F.col("spam_share") > limits.spam_share)
+    ensure_checkpoint_dir(documents.sparkSession)
+    hint = F.lower(F.substring(F.trim(documents[lang_col]), 1, 2)) if lang_col else F.lit(None).cast("string")
+    texts = documents.select(documents[id_col].alias(id_col), hint.alias("__hint"), documents[text_col].alias("__text")).where("__text IS NOT NULL")
+    numbers = emit_rows(texts, [id_col, "__hint"], ["__text"], _NUMBERS, lambda text: page_numbers(text, limits))
+    known = F.col("__hint").isin(*FUNCTION_WORDS, "th")
+    numbers = numbers.withColumn("lang", F.when(known, F.col("__hint")).otherwise(F.col("told_lang"))).drop("__hint", "told_lang").checkpoint()
+
+    bounds = broadcast_if_small(language_limits(numbers, limits).checkpoint())
+    pooled = bounds.where("lang IS NULL").select(*[F.col(c).alias(f"all_{c}") for c in ("most_pair", "least_variety", "least_joiners")])
+    judged = numbers.join(bounds.where("lang IS NOT NULL").drop("docs"), "lang", "left").crossJoin(F.broadcast(pooled))  # one row
+    bound = lambda c: F.coalesce(c, f"all_{c}")
+    stuffed = (F.col("words") >= limits.dense_words) & (F.col("pair") > bound("most_pair")) & (F.col("variety") < bound("least_variety")) & (F.col("labels") < limits.labels)
+    reason = F.when(F.col("spam_share") > limits.spam_share, "lines").when(stuffed, "stuffed")
+    judged = judged.withColumn("reason", reason).withColumn("lang", F.coalesce("lang", F.lit("")))
+
+    # words that stand behind others in the segments of pages found so far and of hardly any other page
+    ends = judged.select("lang", F.col("reason").isNotNull().alias("spam"), F.explode("tails.tail").alias("tail"))
+    counted = ends.groupBy("lang", "tail").agg(F.count_if("spam").alias("with"), F.count_if(~F.col("spam")).alias("without"))
+    learned = counted.where((F.col("with") >= limits.learned_docs) & (F.col("with") >= limits.learned_ratio * F.col("without"))).select("lang", "tail")
+    learned = learned.unionByName(learned.select(F.lit("").alias("lang"), "tail")).distinct().checkpoint()  # where the language is not known, those of any
+    bare = (F.col("joiners") < bound("least_joiners")) & (F.col("segment_words") < 2 * limits.segment_words) & (F.col("segments") >= limits.segments)
+    asked = judged.where("reason IS NULL").where(bare).withColumn("__row", F.monotonically_increasing_id()).checkpoint()
+    hits = asked.select("__row", "lang", F.explode("tails").alias("t")).select("__row", "lang", "t.tail", "t.n")
+    hits = hits.join(broadcast_if_small(learned), ["lang", "tail"], "left_semi").groupBy("__row").agg(F.sum("n").alias("ended"))
+    listed = asked.join(hits, "__row").where(F.col("ended") >= limits.tail_share * F.col("segments")).select(id_col, "spam_share", F.lit("listed").alias("reason"))
+    return judged.where("reason IS NOT NULL").select(id_col, "spam_share", "reason").unionByName(listed)

@@ -1,7 +1,12 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.llm.webspam import find_spam, spam_share
+from foliant.llm.webspam import find_spam, language_limits, spam_share
+
+DATA = "/root/testdata/sf0.1/documents.parquet"
+with_data = pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables here")
 
 SPAM = [
     "mutation rate. " * 40, "food chain " * 30, "récolte " * 20,
@@ -20,14 +25,49 @@ REAL = [
 ]
 
 
-@pytest.mark.parametrize("text", SPAM)
-def test_spam(text):
-    assert spam_share(text) > 0.5
+@pytest.fixture(scope="module")
+def found(spark):
+    """Reasons by id: SPAM from 1,000,000 on and REAL from 2,000,000 on, among the documents of a test table."""
+    corpus = spark.read.parquet(DATA).select("doc_id", "text", "lang")
+    own = [(1_000_000 + i, x, None) for i, x in enumerate(SPAM)] + [(2_000_000 + i, x, None) for i, x in enumerate(REAL)]
+    both = corpus.unionByName(spark.createDataFrame(own, "doc_id long, text string, lang string"))
+    return {r.doc_id: r.reason for r in find_spam(both, lang_col="lang").collect()}
+
+
+@with_data
+@pytest.mark.parametrize("i", range(len(SPAM)))
+def test_spam(found, i):
+    assert 1_000_000 + i in found
+
+
+@with_data
+@pytest.mark.parametrize("i", range(len(REAL)))
+def test_real(found, i):
+    assert 2_000_000 + i not in found
+
+
+def test_lines_of_spam_are_told_without_a_corpus():
+    assert all(spam_share(x) > 0.5 for x in SPAM[:6]) and spam_share(SPAM[7]) > 0.5
+    assert all(spam_share(x) <= 0.5 for x in REAL)
+
+
+def test_limits_are_those_of_the_language(spark):
+    rows = [(lang, 100, pair + i / 1000, 0.6, 0.3) for lang, pair in (("en", 0.05), ("hi", 0.2)) for i in range(60)] + [("th", 100, 0.9, 0.1, 0.0)]
+    numbers = spark.createDataFrame(rows, "lang string, words int, pair double, variety double, joiners double")
+    got = {r.lang: r for r in language_limits(numbers).collect()}
+    assert set(got) == {"en", "hi", None}
+    assert abs(got["en"].most_pair - (0.0795 + 2 * 0.0295)) < 1e-6 and abs(got["hi"].most_pair - got["en"].most_pair - 0.15) < 1e-6
 
 
-@pytest.mark.parametrize("text", REAL)
-def test_real(text):
-    assert spam_share(text) <= 0.5
+def test_words_of_lists_are_learned(spark):
+    terms = ["flux", "torque", "enzyme", "census", "treaty", "tariff", "profile", "membrane", "inflation", "catalyst"]
+    ads = ["zorbig", "quaxel", "pluvit"]
+    seeds = [(i, "flux " + ads[i % 3] + ", flux " + ads[i % 3] + ", " * 1 + ", ".join(f"flux {ads[j % 3]}" for j in range(40)), "en") for i in range(12)]
+    real = [(100 + i, " ".join(f"The {a} of the {b} is not in the {c} and it was the {d} that fell on day {i}." for a, b, c, d in zip(terms, terms[i % 7 :] + terms, terms[3:] + terms, terms[5:] + terms)), "en") for i in range(60)]
+    asked = [(200, "\n".join(f"{x} {ads[i % 3]}" for i, x in enumerate(terms)), "en"), (201, "\n".join(f"{x} chapter" for x in terms), "en")]
+    docs = spark.createDataFrame(seeds + real + asked, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.reason for r in find_spam(docs, lang_col="lang").collect()}
+    assert got.get(200) == "listed" and 201 not in got and all(i in got for i in range(12)) and not any(100 <= i < 160 for i in got)
 
 
 def test_table(spark):
