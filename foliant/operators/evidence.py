@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,10 +9,10 @@ from pyspark.sql import types as T
 from foliant.functions import numbers as nb
 from foliant.functions import text as tx
 from foliant.plans.shapes import contained_pairs, top_k
+from foliant.session import broadcast_if_small, ensure_checkpoint_dir
 
 #: Least length of a key that is looked for in the whole book.
 ELSEWHERE_CHARS = 12
-SPILL_CHARS = 400
 
 
 def page_keys(pages: DataFrame) -> DataFrame:
@@ -41,15 +39,20 @@ def quote_status(checks: DataFrame, pages: DataFrame, least_words: int = 4) -> D
     enough = ((F.col("words") >= least_words) & (F.char_length("qkey") >= 12)) | (wide & (F.char_length("qkey") >= 8))
     short = known.where(~enough).select("check_id", F.lit("too-short").alias("status"), none.alias("pages"))
     rest = known.where(enough).select("check_id", "book", "page_index", "qkey")
-    keys = page_keys(pages)
-    follow = keys.select("book", (F.col("page_index") - 1).alias("page_index"), F.substring("key", 1, SPILL_CHARS).alias("spill"), F.col("page_id").alias("next_id"))
+    # keys of the cited pages and of those behind them only; a quote runs on by no more than its own length
+    here_at = rest.select("book", "page_index").distinct()
+    longest = rest.agg(F.coalesce(F.max(F.char_length("qkey")), F.lit(0))).scalar()
+    keys = page_keys(pages.join(broadcast_if_small(here_at), ["book", "page_index"], "left_semi"))
+    behind = page_keys(pages.join(broadcast_if_small(here_at.select("book", (F.col("page_index") + 1).alias("page_index"))), ["book", "page_index"], "left_semi"))
+    follow = behind.select("book", (F.col("page_index") - 1).alias("page_index"), F.substring("key", F.lit(1), longest).alias("spill"), F.col("page_id").alias("next_id"))
     one_next = follow.groupBy("book", "page_index").agg(F.min_by("spill", "next_id").alias("spill"))
     here = rest.join(keys.join(one_next, ["book", "page_index"], "left"), ["book", "page_index"])
     start = F.instr(F.concat("key", F.coalesce("spill", F.lit(""))), F.col("qkey"))
-    exact = here.where((start > 0) & (start <= F.char_length("key"))).select("check_id").distinct()
-    left = rest.join(exact, "check_id", "left_anti")
-    pairs = contained_pairs(keys, "page_id", "key", left, "check_id", "qkey", ELSEWHERE_CHARS)
-    hits = pairs.join(left.select("check_id", "book"), "check_id").join(pages.select("page_id", "book", "page_index"), ["page_id", "book"])
+    ensure_checkpoint_dir(pages.sparkSession)
+    exact = here.where((start > 0) & (start <= F.char_length("key"))).select("check_id").distinct().checkpoint()  # read three times below
+    left = rest.join(exact, "check_id", "left_anti").checkpoint()
+    pairs = contained_pairs(page_keys(pages), "page_id", "key", left, "check_id", "qkey", ELSEWHERE_CHARS, group="book")
+    hits = pairs.join(pages.select("page_id", "book", "page_index"), ["page_id", "book"])
     found = hits.groupBy("check_id").agg(F.slice(F.array_sort(F.collect_set("page_index")), 1, 3).alias("pages"))
     wrong = found.select("check_id", F.lit("wrong-page").alias("status"), "pages")
     missing = left.join(found, "check_id", "left_anti").select("check_id", F.lit("not-found").alias("status"), none.alias("pages"))
@@ -57,27 +60,43 @@ def quote_status(checks: DataFrame, pages: DataFrame, least_words: int = 4) -> D
     return bad.unionByName(short).unionByName(exact_rows).unionByName(wrong).unionByName(missing)
 
 
+def least_edits(text: str, pattern: str) -> int:
+    """Fewest insertions, deletions and exchanges that make the pattern of some stretch of the text; exact.
+
+    The column of the edit table for every place of the text is held as two bit vectors of differences (vertical steps up and down), so that a place costs a few
+    operations on whole numbers of as many bits as the pattern has characters.
+    """
+    m = len(pattern)
+    if not m:
+        return 0
+    places: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        places[c] = places.get(c, 0) | 1 << i
+    every, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, score = every, 0, m
+    best = m
+    for c in text:
+        equal = places.get(c, 0)
+        across = (((equal & up) + up) ^ up) | equal | down
+        rises, falls = down | (every & ~(across | up)), up & across
+        if rises & top:
+            score += 1
+        elif falls & top:
+            score -= 1
+            if score < best:
+                best = score
+                if not best:
+                    return 0
+        rises, falls = (rises << 1) & every, (falls << 1) & every  # a match may start anywhere: the row above stays 0
+        up, down = falls | (every & ~((equal | down) | rises)), rises & (equal | down)
+    return best
+
+
 def best_window(page_key: str | None, quote_key: str | None) -> float:
-    """Likeness of the window of a page's key that is most like a quote's key: the six windows that share most four-grams, a step to either side, at 0.9, 1 and 1.1 of its length."""
+    """Likeness of the stretch of a page's key that is most like a quote's key: 1 less the edits for each character of the quote. Searches the whole page."""
     if not page_key or not quote_key:
         return 0.0
-    n, m = len(page_key), len(quote_key)
-    match = difflib.SequenceMatcher(None, "", quote_key, autojunk=False)
-
-    def ratio(a: int, b: int) -> float:
-        match.set_seq1(page_key[a:b])
-        return match.ratio()
-
-    if n <= m:
-        return ratio(0, n)
-    grams = {quote_key[i : i + 4] for i in range(max(1, m - 3))}
-    step = max(1, m // 8)
-    shared = [0] * (n + 1)
-    for i in range(n):
-        shared[i + 1] = shared[i] + (page_key[i : i + 4] in grams)
-    starts = sorted(range(0, n - m + step, step), key=lambda s: (-(shared[min(n, s + m)] - shared[min(n, s)]), s))[:6]
-    spots = {(max(0, s + d), size) for s in starts for d in (-step, 0, step) for size in (int(m * 0.9), m, int(m * 1.1))}
-    return max(ratio(a, min(n, a + size)) for a, size in spots)
+    return 1.0 - least_edits(page_key, quote_key) / len(quote_key)
 
 
 def best_window_ratio(page_key: Column, quote_key: Column) -> Column:

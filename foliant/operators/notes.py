@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliant.functions import calc
 from foliant.functions import text as tx
 
 #: Fields of the note kinds as kind, key, least and most times (0 for any number), largest number of words (0 for any).
@@ -124,3 +125,16 @@ def cards(blocks: DataFrame) -> DataFrame:
     question = wide.where("kind = 'question'").select("block_no", F.col("ask").alias("front"), F.col("answer").alias("back"))
     both = concept.unionByName(question).select("block_no", tx.strip_citations(F.col("front")).alias("front"), tx.strip_citations(F.col("back")).alias("back"))
     return both.where("front != '' AND back != ''")
+
+
+def calculations(blocks: DataFrame) -> DataFrame:
+    """block_no, field_no, ok and problem of every calculation line, run block by block in field order, so that a line knows the names of those before it.
+
+    A block's fields are one row, so nothing is shuffled. Null values are no lines; blocks without any give no row; a block handed in twice is run twice.
+    """
+    numbered = F.transform("fields", lambda f, i: F.struct(i.alias("field_no"), tx.normal_key(f["key"]).alias("key"), f["value"].alias("value")))
+    lines = F.filter(numbered, lambda f: (f["key"] == "calc") & f["value"].isNotNull())
+    held = blocks.select("block_no", lines.alias("lines")).where(F.size("lines") > 0)
+    run = held.withColumn("results", calc.calc_results(F.transform("lines", lambda f: f["value"])))
+    each = run.select("block_no", F.explode(F.arrays_zip("lines", "results")).alias("z"))
+    return each.select("block_no", F.col("z.lines.field_no").alias("field_no"), F.col("z.results.ok").alias("ok"), F.col("z.results.problem").alias("problem"))

@@ -79,7 +79,7 @@ def unique_ids(df: DataFrame, keys: list[str], base: str, order: list[Column], n
     return df.withColumn(name, F.when(n == 1, F.col(base)).otherwise(F.concat_ws("-", F.col(base), n)))
 
 
-def split_questions(texts: DataFrame, key: str, text: str = "text", most_chars: int = 1500) -> DataFrame:
+def split_questions(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Numbered questions of exam papers: key, number and text. A number starts a question if it is at most 3 as the first, else up to three above the last; other lines go on."""
     lines = F.split(F.col(text), "\n")
     start = F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("ns"))
@@ -94,7 +94,7 @@ def split_questions(texts: DataFrame, key: str, text: str = "text", most_chars:
     owned = texts.where(F.col(text).isNotNull()).select(key, lines.alias("ls"), F.aggregate(lines, start, step, lambda a: a["ns"]).alias("ns"))
     each = owned.select(key, F.posexplode(F.arrays_zip("ls", "ns")).alias("pos", "z")).select(key, "pos", F.col("z.ls").alias("line"), F.col("z.ns").alias("number")).where("number > 0")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: F.trim(x["line"])), " ")
-    return each.groupBy(key, "number").agg(F.substring(body, 1, most_chars).alias("question"))
+    return each.groupBy(key, "number").agg(body.alias("question"))
 
 
 def probe(pages: DataFrame, step: int = 1) -> DataFrame:

@@ -52,29 +52,30 @@ def shingle_candidates(texts: DataFrame, text_id: str, text_key: str, probes: Da
 AUTOMATON_PROBES = 50_000
 
 
-def contained_pairs(texts: DataFrame, text_id: str, text_key: str, probes: DataFrame, probe_id: str, probe_key: str, size: int = 12) -> DataFrame:
-    """All pairs in which the text's key holds the probe's key, for probes of at least `size` characters.
+def contained_pairs(texts: DataFrame, text_id: str, text_key: str, probes: DataFrame, probe_id: str, probe_key: str, size: int = 12, group: str | None = None) -> DataFrame:
+    """All pairs in which the text's key holds the probe's key, for probes of at least `size` characters; with a group column only pairs of one group, which is a third column.
 
     Up to AUTOMATON_PROBES probes, which are counted first, every task runs one Aho-Corasick automaton of them over its texts, without any shuffle of the
     texts; more of them meet the texts by a join on shingles. Both ways give the same pairs.
     """
-    p = probes.where(F.char_length(probe_key) >= size).select(probe_id, probe_key)
+    of = [group] if group else []
+    p = probes.where(F.char_length(probe_key) >= size).select(probe_id, probe_key, *of)
     patterns = [tuple(r) for r in p.limit(AUTOMATON_PROBES + 1).collect()]
-    t = texts.where(F.char_length(text_key) >= size).select(text_id, text_key)
+    t = texts.where(F.char_length(text_key) >= size).select(text_id, text_key, *of)
     if len(patterns) > AUTOMATON_PROBES:
         pairs = shingle_candidates(texts, text_id, text_key, probes, probe_id, probe_key, size)
-        both = pairs.join(p, probe_id).join(t, text_id)
-        return both.where(F.contains(text_key, probe_key)).select(text_id, probe_id)
+        both = pairs.join(p, probe_id).join(t, [text_id, *of])
+        return both.where(F.contains(text_key, probe_key)).select(text_id, probe_id, *of)
     shared = t.sparkSession.sparkContext.broadcast(patterns)
-    schema = T.StructType([t.schema[text_id], p.schema[probe_id]])
+    schema = T.StructType([t.schema[text_id], p.schema[probe_id], *[t.schema[c] for c in of]])
 
     def search(batches):
         import ahocorasick
         import pandas as pd
 
-        ids: dict[str, list] = {}
-        for i, key in shared.value:
-            ids.setdefault(key, []).append(i)
+        ids: dict[str, dict] = {}
+        for i, key, *g in shared.value:
+            ids.setdefault(key, {}).setdefault(g[0] if g else None, []).append(i)
         automaton = ahocorasick.Automaton()
         for key in ids:
             automaton.add_word(key, key)
@@ -82,9 +83,10 @@ def contained_pairs(texts: DataFrame, text_id: str, text_key: str, probes: DataF
         for pdf in batches:
             rows = []
             if ids:
-                for owner, text in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]):
-                    rows += [(owner, i) for key in {k for _, k in automaton.iter(text)} for i in ids[key]]
-            yield pd.DataFrame(rows, columns=[text_id, probe_id])
+                groups = pdf.iloc[:, 2] if of else [None] * len(pdf)
+                for owner, text, g in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], groups):
+                    rows += [(owner, i, *([g] if of else [])) for key in {k for _, k in automaton.iter(text)} for i in ids[key].get(g, ())]
+            yield pd.DataFrame(rows, columns=[text_id, probe_id, *of])
 
     return t.mapInPandas(search, schema)
 

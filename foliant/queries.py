@@ -263,7 +263,7 @@ known AS (SELECT DISTINCT book, page_index FROM pages WHERE page_index IS NOT NU
 j AS (SELECT q.*, known.book IS NOT NULL AS cited, (words >= 4 AND length(k) >= 12) OR (wide * 2 > length(k) AND length(k) >= 8) AS enough FROM q LEFT JOIN known ON q.book = known.book AND q.page_index = known.page_index),
 keys AS (SELECT page_id, book, page_index, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS key FROM pages WHERE text IS NOT NULL),
 kk AS (SELECT * FROM keys WHERE key != ''),
-spill AS (SELECT book, page_index - 1 AS page_index, arg_min(substring(key, 1, 400), page_id) AS spill FROM kk GROUP BY ALL),
+spill AS (SELECT book, page_index - 1 AS page_index, arg_min(key, page_id) AS spill FROM kk GROUP BY ALL),
 ex AS (SELECT DISTINCT check_id FROM (SELECT check_id, length(kk.key) AS n, instr(kk.key || coalesce(spill.spill, ''), j.k) AS spot FROM j JOIN kk ON j.book = kk.book AND j.page_index = kk.page_index
   LEFT JOIN spill ON kk.book = spill.book AND kk.page_index = spill.page_index WHERE cited AND enough) WHERE spot > 0 AND spot <= n),
 wr AS (SELECT check_id, array_to_string(list_sort(list_distinct(list(kk.page_index)))[1:3], ',') AS pages FROM j JOIN kk ON j.book = kk.book AND contains(kk.key, j.k) WHERE cited AND enough AND length(j.k) >= 12 AND check_id NOT IN (SELECT check_id FROM ex) GROUP BY check_id)
@@ -441,10 +441,8 @@ def answer_check(spark, sf):
 
 @query()
 def calc_checks(spark, sf):
-    """Calculation lines of notes that do not come out as stated, run once for each distinct line."""
-    lines = notes.fields(read_table(spark, sf, "note_blocks")).where("key = 'calc' AND value IS NOT NULL").select("block_no", "field_no", "value")
-    done = lines.select("value").distinct().withColumn("r", F.element_at(calc.calc_results(F.array("value")), 1))
-    return lines.join(done, "value").select("block_no", "field_no", F.col("r.ok").alias("ok"), F.col("r.problem").alias("problem"))
+    """Calculation lines of notes and whether they come out as stated; the lines of a block are run in order, later ones know the names of earlier ones."""
+    return notes.calculations(read_table(spark, sf, "note_blocks"))
 
 
 @query()
@@ -683,7 +681,7 @@ def stream_results_dedup(spark, sf):
     return _streamed(spark, sf, lambda r: relearn.deduplicated(r).select("result_no", "course", "id", "correct", "at"), "append")
 
 
-@query()
+@query(f"WITH {_STATE} SELECT * FROM states WHERE course IS NOT NULL")
 def stream_relearn(spark, sf):
     """State of every question, kept by a stream."""
     from foliant.streaming import relearn

@@ -64,8 +64,8 @@ def folded(line: str, octets: int = 73) -> str:
 
 
 def calendar(events: DataFrame) -> str:
-    """iCalendar text of a schedule (uid, date, title): a plan of one learner, small by nature, so that the driver writes it."""
-    rows = events.select("uid", F.date_format("date", "yyyyMMdd").alias("day"), ics_text(F.col("title")).alias("title")).orderBy("day", "uid").limit(10_000).collect()
+    """iCalendar text of a schedule (uid, date, title): a plan of one learner, which the driver writes row by row, whole however long."""
+    rows = events.select("uid", F.date_format("date", "yyyyMMdd").alias("day"), ics_text(F.col("title")).alias("title")).orderBy("day", "uid").toLocalIterator()
     lines = ["BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//foliant//EN"]
     for r in rows:
         lines += ["BEGIN:VEVENT", f"UID:{r.uid}", f"DTSTART;VALUE=DATE:{r.day}", folded(f"SUMMARY:{r.title}"), "END:VEVENT"]

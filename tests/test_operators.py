@@ -216,3 +216,49 @@ def test_every_claim_gets_a_context_that_does_not_fit(spark):
     nowhere = verification.mismatched(claims, "claim", "key", contexts.where("page != 777"), "page", "text")
     assert [r.claim for r in nowhere.collect()] == [90]
     assert verification.mismatched(claims, "claim", "key", contexts.limit(0), "page", "text").count() == 0
+
+
+def test_least_edits_equals_the_whole_table():
+    import random
+
+    def table(text, pattern):
+        row = list(range(len(pattern) + 1))
+        best = row[-1]
+        for c in text:
+            now = [0]
+            for j, d in enumerate(pattern, 1):
+                now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (c != d)))
+            row, best = now, min(best, now[-1])
+        return best
+
+    rng = random.Random(5)
+    for _ in range(2000):
+        text, pattern = ("".join(rng.choices("abc", k=rng.randint(0, n))) for n in (25, 9))
+        assert evidence.least_edits(text, pattern) == table(text, pattern)
+    assert evidence.least_edits("x" * 5000 + "membrane" + "y" * 5000, "mambrane") == 1
+
+
+def test_quotes_that_run_on_far(spark):
+    long = "the membrane lets ions pass and the pressure falls at once " * 20
+    pages = pages_of(spark, [(1, "b", 0, None, "It is said that " + long[:40]), (2, "b", 1, None, long[40:] + "the end"), (3, "c", 0, None, long)])
+    checks = spark.createDataFrame([(1, "b", 0, long.strip()), (2, "c", 0, long.strip()), (3, "c", 0, "the pressure falls at first")], "check_id long, book string, page_index int, quote string")
+    got = {r.check_id: (r.status, r.pages) for r in evidence.quote_status(checks, pages).collect()}
+    assert got == {1: ("exact", []), 2: ("exact", []), 3: ("not-found", [])}
+
+
+def test_pairs_stay_within_their_group(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "abcdefghijklmnop", "x"), (2, "zzabcdefghijklmn", "y"), (3, "abcdefghijklmnop", None)], "t long, key string, g string")
+    probes = spark.createDataFrame([(1, "abcdefghijkl", "x"), (2, "abcdefghijkl", "y"), (3, "bcdefghijklm", "y"), (4, "abcdefghijklq", "x")], "p long, probe string, g string")
+    for most in (50_000, 1):
+        monkeypatch.setattr(shapes, "AUTOMATON_PROBES", most)
+        got = {(r.t, r.p, r.g) for r in shapes.contained_pairs(texts, "t", "key", probes, "p", "probe", group="g").collect()}
+        assert got == {(1, 1, "x"), (2, 2, "y"), (2, 3, "y")}
+
+
+def test_calculations_of_a_block_share_their_names(spark):
+    schema = "block_no long, fields array<struct<key: string, value: string, line: int, raw: string>>"
+    lines = ["m = 250[g]", "dT = 40[degC] - 25[degC]", "q = m * 4.184[J/(g*degC)] * dT => 15690[J]", "q / m => 62.8[J/g]", "q / m => 61.8[J/g]", None, "x + 1"]
+    rows = [(1, [("Calc", v, 1, "") for v in lines] + [("why", "2", 2, "")]), (2, [("calc", "q => 15690[J]", 1, "")]), (3, None), (4, []), (5, [("why", "x", 1, "")])]
+    got = {(r.block_no, r.field_no): (r.ok, r.problem) for r in notes.calculations(spark.createDataFrame(rows, schema)).collect()}
+    assert [got[1, i][0] for i in (0, 1, 2, 3, 4, 6)] == [True, True, True, True, False, False]
+    assert got[1, 4][1] == "the calculation gives 62.76" and got[2, 0] == (False, "unknown name q") and len(got) == 7
