@@ -10,6 +10,7 @@ words from indexes and glossaries.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -51,9 +52,10 @@ _UNSPACED = regex.compile(r"[\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}]")
 
 
 #: Labels of questions and answers.
-_LABEL = regex.compile(r"(?:^|\s)(?:\d{1,3}|\p{L})[.)](?=\s)", regex.M)
+_LABEL = re.compile(r"(?:^|\s)(?:\d{1,3}|[^\W\d_])[.)](?=\s)", re.M)
 #: A word, one character of Chinese or Japanese, or up to four letters of Thai.
 _TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]|\p{Thai}[\p{Thai}\p{M}]{0,3}|[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}'’-]*")
+_ASCII_TOKEN = re.compile(r"[a-z0-9][a-z0-9'-]*")
 
 
 @dataclass(frozen=True)
@@ -121,17 +123,34 @@ def keyword_density(text: str) -> tuple[float, float]:
     return total, max(covered) / max(1.0, total)
 
 
-def _dense(text: str, limits: Limits) -> bool:
+def _words_of(text: str) -> list[str]:
+    """Tokens of a line in small letters."""
+    return _ASCII_TOKEN.findall(text.lower()) if text.isascii() else _TOKEN.findall(text.casefold())
+
+
+def _segments_of(text: str) -> list[str]:
+    return [s for s in (x.strip() for x in _SEPARATOR.split(text)) if s]
+
+
+def _dense(text: str, words: list[str], limits: Limits) -> bool:
     """One keyword phrase over and over."""
-    if len(text) < limits.dense_words or max(Counter(text).values()) < 4:  # too short for ten words
+    if not text.isascii() and _UNSPACED.search(text):
+        total, density = keyword_density(text)
+        return total >= limits.dense_words // 3 and density >= limits.bare_density
+    words = [w for w in words if not w.isdecimal()]
+    total = len(words)
+    if total < limits.dense_words // 3:
         return False
-    words, density = keyword_density(text)
-    return words >= limits.dense_words // 3 and density >= limits.bare_density
+    counts = Counter(words)
+    if 2 * max(counts.values()) < limits.bare_density * total:  # no pair is more frequent than its words
+        return False
+    pairs = Counter(p for p in zip(words, words[1:]) if p[0] not in _JOINERS or p[1] not in _JOINERS)
+    single = max((n for w, n in counts.items() if w not in _JOINERS and len(w) > 3), default=0)
+    return max(2 * max(pairs.values(), default=0), single) >= limits.bare_density * total
 
 
-def _stuffed(text: str, limits: Limits) -> bool:
+def _stuffed(text: str, segments: list[str], limits: Limits) -> bool:
     """Short segments, named again and again or strung between separators, where sentences should be."""
-    segments = [s for s in (x.strip() for x in _SEPARATOR.split(text)) if s]
     if len(segments) < limits.segments:
         return False
     segments = [s for s in segments if len(s) > 1 or not s.isascii()]  # labels as in Q: and A: are no segments
@@ -150,8 +169,8 @@ def _stuffed(text: str, limits: Limits) -> bool:
     return repeated >= limits.repeated_share and (joiners < 0.35 or max(words.values()) >= limits.top_share * total)
 
 
-def line_kind(line: str, limits: Limits = Limits()) -> str | None:
-    """link, tags, product or keywords for a line of spam, else null."""
+def line_kind(line: str, limits: Limits = Limits(), words: list[str] | None = None, segments: list[str] | None = None) -> str | None:
+    """link, tags, product or keywords for a line of spam, else null. words and segments are those of the line, where they are at hand."""
     bare = len("".join(line.split()))
     if not bare:
         return None
@@ -165,28 +184,38 @@ def line_kind(line: str, limits: Limits = Limits()) -> str | None:
             return "tags"
     if sum(bool(p.search(line)) for p in _PRODUCT) >= 2:
         return "product"
-    return "keywords" if _stuffed(line, limits) or _dense(line, limits) else None
+    words, segments = _words_of(line) if words is None else words, _segments_of(line) if segments is None else segments
+    return "keywords" if _stuffed(line, segments, limits) or _dense(line, words, limits) else None
 
 
-def spam_share(text: str | None, limits: Limits = Limits()) -> float:
-    """Share of a text's visible characters in lines of spam; 0 for null, empty and blank texts."""
-    if not text or text.isspace():
-        return 0.0
+def _read(text: str, limits: Limits) -> tuple[float, list[str], list[str]]:
+    """Share of visible characters in lines of spam, words and segments of a text that is not blank; each line is taken apart once."""
     spam = total = 0
-    rest: list[str] = []
+    rest: list[tuple[str, int, list[str]]] = []
+    every_word: list[str] = []
+    every_segment: list[str] = []
     for line in text.split("\n"):
         bare = len("".join(line.split()))
+        if not bare:
+            continue
         total += bare
-        if bare and line_kind(line, limits):
+        words, segments = _words_of(line), _segments_of(line)
+        every_word += words
+        every_segment += segments
+        if line_kind(line, limits, words, segments):
             spam += bare
-        elif bare:
-            rest.append(line)
+        elif len(segments) < limits.segments:
+            rest.append((line, bare, words))
     if len(rest) >= 3 and spam <= limits.spam_share * total:
-        short = [x for x in rest if len(_SEPARATOR.split(x.strip())) < limits.segments]
-        together = ". ".join(short)
-        if len(short) >= 3 and (_stuffed(together, limits) or _dense(together, limits)):  # one keyword phrase to a line
-            spam += sum(len("".join(x.split())) for x in short)
-    return spam / total
+        together = ". ".join(line for line, _, _ in rest)
+        if _stuffed(together, _segments_of(together), limits) or _dense(together, [w for _, _, words in rest for w in words], limits):  # one keyword phrase to a line
+            spam += sum(bare for _, bare, _ in rest)
+    return spam / total, every_word, every_segment
+
+
+def spam_share(text: str | None, limits: Limits = Limits()) -> float:
+    """Share of a text's visible characters in lines of spam; 0 for null, empty and blank texts."""
+    return _read(text, limits)[0] if text and not text.isspace() else 0.0
 
 
 def page_numbers(text: str, limits: Limits = Limits()) -> list[tuple]:
@@ -197,21 +226,24 @@ def page_numbers(text: str, limits: Limits = Limits()) -> list[tuple]:
     """
     if not text or text.isspace():
         return []
-    words = _TOKEN.findall(text.casefold())
-    n = len(words)
+    share, words, segments = _read(text, limits)
+    n = max(1, len(words))
     counts = Counter(words)
-    joiners, votes = 0, Counter()
-    for w, times in counts.items():
-        if w in _OF_LANGUAGE:
-            joiners += times
-            for lang in _OF_LANGUAGE[w]:
-                votes[lang] += times
+    joiners, votes = 0, {}
+    for w in counts.keys() & _OF_LANGUAGE.keys():
+        times = counts[w]
+        joiners += times
+        for lang in _OF_LANGUAGE[w]:
+            votes[lang] = votes.get(lang, 0) + times
     # labels and numbers are no keywords
-    words = [w for w in words if not (w.isdecimal() or len(w) == 1 and w.isascii())]
+    no_word = {w for w in counts if w.isdecimal() or len(w) == 1 and w.isascii()}
+    if no_word:
+        words = [w for w in words if w not in no_word]
     pairs = Counter(zip(words, words[1:]))
-    top = 2 * next((times for (a, b), times in pairs.most_common() if a not in _JOINERS or b not in _JOINERS), 0)
-    top = max(top, max((times for w, times in Counter(words).items() if w not in _JOINERS), default=0))
-    segments = [s for s in (x.strip() for x in _SEPARATOR.split(text.replace("\n", "  "))) if s]
+    top = 2 * max((times for (a, b), times in pairs.items() if times > 1 and (a not in _JOINERS or b not in _JOINERS)), default=0)
+    if not top and any(a not in _JOINERS or b not in _JOINERS for a, b in pairs):
+        top = 2
+    top = max(top, max((times for w, times in counts.items() if w not in _JOINERS and w not in no_word), default=0))
     each = n / max(1, len(segments))
     tails: Counter = Counter()
     if each < 2 * limits.segment_words and len(segments) >= limits.segments:
@@ -220,7 +252,7 @@ def page_numbers(text: str, limits: Limits = Limits()) -> list[tuple]:
             if 2 <= len(parts) <= 2 * limits.segment_words:
                 tails.update({w for w in parts[1:] if not w.strip("().").isdecimal()})
     lang = max(votes, key=lambda x: (votes[x], x)) if votes else None
-    return [(spam_share(text, limits), lang, n, joiners / max(1, n), top / max(1, n), len(_LABEL.findall(text)) / max(1, n), len(counts) / max(1, n), each, len(segments), list(tails.items()))]
+    return [(share, lang, sum(counts.values()), joiners / n, top / n, len(_LABEL.findall(text)) / n, len(counts) / n, each, len(segments), list(tails.items()))]
 
 
 _TAIL = T.StructType([T.StructField("tail", T.StringType()), T.StructField("n", T.IntegerType())])
