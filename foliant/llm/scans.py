@@ -1,8 +1,9 @@
 """Texts of scanned pages: running heads and feet, words broken at line ends, misrecognised characters, and their repair.
 
 One pass reads all pages: it counts the words of pages that are not scans (the vocabulary) and takes the lines of scanned pages apart.
-Words of scans that the vocabulary lacks are looked up in a trie of the vocabulary that is intersected with an automaton of
-weighted edits, whose edits are the confusions of print recognition; all candidates within the bound are found. Running lines
+Words of scans that the vocabulary lacks are looked up in a trie of the vocabulary that is intersected with a Levenshtein automaton of weighted
+edits: letters left out, put in or exchanged, two read as one and one read as two, of which the known confusions of print recognition cost half; all candidates
+within the bound are found. Where they are several, or none by known confusions, the words beside decide. Running lines
 are told by how often a book's pages repeat them, page numbers by the offset to the page index that most pages of the book agree on.
 A page is a scan by its line ends, else, if it is as narrow as print, by its flag or by a running line of a book with scans.
 """
@@ -27,12 +28,15 @@ from foliant.session import broadcast_if_small, ensure_checkpoint_dir
 KNOWN_TIMES = 2
 #: A known word is a misreading all the same when confusions make it of a word so many times as frequent; doubtful ones only count in long words.
 MISREAD_RATIO = 100
-#: Words of the vocabulary that one trie holds, and looked-up words that one task takes.
-TRIE_WORDS, LOOKED_UP = 300_000, 20_000
+#: Words of the vocabulary that one trie holds, and looked-up words that one task takes; a trie is copied once for so many of them, a looked-up word once for each trie.
+TRIE_WORDS, LOOKED_UP = 300_000, 1_000_000
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 300_000
-#: Confusions that one word may hold.
-MOST_CONFUSIONS = 2
+#: Cost of all edits of one word, of a known confusion and of any other edit.
+MOST_COST, CONFUSION, OTHER_EDIT = 2, 1, 2
+MOST_CONFUSIONS = MOST_COST // CONFUSION
+#: Letters that a word needs, and times that it must stand beside the same words as what it is taken for, to be corrected by an edit that is no known confusion.
+OTHER_LETTERS, OTHER_CONTEXTS = 6, 2
 #: Pages of a book that must share a line at their edge for it to be a running one.
 SHARED_PAGES = 3
 #: Columns that a printed line has at most.
@@ -294,26 +298,24 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = n
 
-    def within(self, word: str, bound: int = MOST_CONFUSIONS) -> dict[str, tuple[int, int, bool]]:
-        """Every word from which confusions of at most the bound make the given one: its number of confusions, frequency, and whether a sure one is among them.
+    def within(self, word: str, bound: int = MOST_COST, others: bool = False) -> dict[str, tuple[int, int, bool, bool]]:
+        """Every other word from which known confusions, and with others any edits, of at most the bound make the given one: cost, frequency, whether a sure confusion is among them, and whether all are known confusions.
 
-        The automaton's states are places in the word with the confusions so far; it reads the trie's letters and moves on equal letters or along
-        a confusion.
+        The automaton's states are places in the word with the cost so far; it reads the trie's letters and moves on equal letters, along a confusion, or
+        along any other edit. Of several ways to one word the cheapest counts, known confusions before others and sure ones before doubtful ones.
         """
-        found: dict[str, tuple[int, int, bool]] = {}
-        stack = [(self.root, 0, 0, "", False)]
+        found: dict[str, tuple[int, int, bool, bool]] = {}
+        stack = [(self.root, 0, 0, "", False, True)]
         n = len(word)
         while stack:
-            node, at, cost, path, sure = stack.pop()
-            if at == n:
-                if "" in node and cost:
-                    best = found.get(path)
-                    if best is None or cost < best[0] or sure and not best[2]:
-                        found[path] = (cost, node[""], sure)
-                continue
-            if (nxt := node.get(word[at])) is not None:
-                stack.append((nxt, at + 1, cost, path + word[at], sure))
-            if cost < bound:
+            node, at, cost, path, sure, known = stack.pop()
+            if at == n and "" in node and cost and path != word:
+                best = found.get(path)
+                if best is None or (cost, not known, not sure) < (best[0], not best[3], not best[2]):
+                    found[path] = (cost, node[""], sure, known)
+            if at < n and (nxt := node.get(word[at])) is not None:
+                stack.append((nxt, at + 1, cost, path + word[at], sure, known))
+            if at < n and cost + CONFUSION <= bound:
                 for printed, read in _BY_READ.get(word[at], ()):
                     if not word.startswith(read, at):
                         continue
@@ -323,7 +325,22 @@ class Trie:
                         if to is None:
                             break
                     if to is not None:
-                        stack.append((to, at + len(read), cost + 1, path + printed, sure or (printed, read) not in DOUBTFUL))
+                        stack.append((to, at + len(read), cost + CONFUSION, path + printed, sure or (printed, read) not in DOUBTFUL, known))
+            if others and cost + OTHER_EDIT <= bound:
+                dear = cost + OTHER_EDIT
+                if at < n:
+                    stack.append((node, at + 1, dear, path, sure, False))  # a letter put in
+                for c, nxt in node.items():
+                    if not c:
+                        continue
+                    stack.append((nxt, at, dear, path + c, sure, False))  # left out
+                    if at < n:
+                        stack.append((nxt, at + 1, dear, path + c, sure, False))  # exchanged
+                        if at + 1 < n:
+                            stack.append((nxt, at + 2, dear, path + c, sure, False))  # read as two
+                        for d, far in nxt.items():
+                            if d:
+                                stack.append((far, at + 1, dear, path + c + d, sure, False))  # two read as one
         return found
 
 
@@ -334,36 +351,37 @@ _BY_READ = dict(_BY_READ)
 _NUMERIC = regex.compile(r"^(?=.*\d)(?=.*[lIiOo])[\dlIiOo]+$")
 
 
-def best_correction(word: str, times: int, trie: Trie, known: int = 0) -> tuple[str, int] | None:
-    """The word meant by one that the vocabulary lacks, with its number of confusions, or null.
+def corrections(word: str, times: int, trie: Trie, known: int = 0) -> list[tuple[str, int, int, bool]]:
+    """(meant, cost, frequency, by known confusions) of the words that one may be a misreading of.
 
-    Fewer confusions come first, then frequency. A short word or one with doubtful confusions only needs a candidate that is much more frequent;
-    a word that the vocabulary has (known times) needs one that is MISREAD_RATIO times as frequent and, if the word is short, sure.
+    A short word or one with doubtful confusions only needs a candidate that is much more frequent; a word that the vocabulary has (known times) needs one that
+    is MISREAD_RATIO times as frequent and, if the word is short, sure. Other edits come into question for long words that the vocabulary lacks.
     """
-    found = trie.within(word)
-    if not found and word.startswith("("):
-        found = trie.within(word[1:])
+    others = not known and len(word) >= OTHER_LETTERS
+    found = trie.within(word, others=others)
+    if word.startswith("(") and not any(c[3] for c in found.values()):
+        found = {**trie.within(word[1:], others=others), **found}
     good = []
-    for candidate, (cost, n, sure) in found.items():
-        if known and (n < MISREAD_RATIO * known or len(word) < 6 and not sure):
-            continue
-        need = 4 * times if sure else 8 * times
-        if len(word) < 4:
-            need = max(need, 40)
-        elif len(word) < 6 and not sure:
-            need = max(need, 12)
-        if n >= max(need, 4 if sure else 6):
-            good.append((cost, -n, candidate))
-    if not good:
-        return None
-    cost, _, candidate = min(good)
-    return candidate, cost
+    for candidate, (cost, n, sure, listed) in found.items():
+        if listed:
+            if known and (n < MISREAD_RATIO * known or len(word) < 6 and not sure):
+                continue
+            need = 4 * times if sure else 8 * times
+            if len(word) < 4:
+                need = max(need, 40)
+            elif len(word) < 6 and not sure:
+                need = max(need, 12)
+            if n >= max(need, 4 if sure else 6):
+                good.append((candidate, cost, n, True))
+        elif n >= max(8 * times, 6):
+            good.append((candidate, cost, n, False))
+    return good
 
 
 def look_up(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """word, meant and confusions of the asked words (word, n, known) that are misreadings of a word of the vocabulary (word, n).
+    """word, meant, confusions (their cost), frequency and listed (by known confusions) of all words of the vocabulary (word, n) that the asked ones (word, n, known) may be misreadings of.
 
-    The vocabulary is divided into tries of bounded size; every block of unknown words meets every trie, and the best of all answers counts.
+    The vocabulary is divided into tries of bounded size, the asked words into blocks; every block meets every trie.
     """
     tries = vocabulary.count() // TRIE_WORDS + 1
     blocks = unknown.count() // LOOKED_UP + 1
@@ -377,16 +395,36 @@ def look_up(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
         import pandas as pd
 
         trie = Trie(zip(left["word"], left["n"]))
-        rows = []
-        for word, times, known in zip(right["word"], right["n"], right["known"]):
-            best = best_correction(word, times, trie, known)
-            if best:
-                rows.append((word, *best, trie.within(word).get(best[0], (0, 0, True))[1]))
-        return pd.DataFrame(rows, columns=["word", "meant", "confusions", "frequency"])
+        rows = [(word, *c) for word, times, known in zip(right["word"], right["n"], right["known"]) for c in corrections(word, times, trie, known)]
+        return pd.DataFrame(rows, columns=["word", "meant", "confusions", "frequency", "listed"])
 
     pairs = v.groupBy("trie", "block").cogroup(u.groupBy("trie", "block"))
-    answers = pairs.applyInPandas(search, "word string, meant string, confusions int, frequency long")
-    return answers.groupBy("word").agg(F.min(F.struct("confusions", (-F.col("frequency")).alias("f"), "meant")).alias("b")).select("word", F.col("b.meant").alias("meant"), F.col("b.confusions").alias("confusions"))
+    return pairs.applyInPandas(search, "word string, meant string, confusions int, frequency long, listed boolean")
+
+
+def chosen(answers: DataFrame, content: DataFrame) -> DataFrame:
+    """word, meant and confusions of the best answer of look_up() to every word.
+
+    Known confusions come before other edits and fewer before more; among equals the one that stands more often beside the same words on the lines, then the more
+    frequent one. Other edits count only with OTHER_CONTEXTS such places. Lines without neighbours and words broken at line ends have no context.
+    """
+    best = Window.partitionBy("word").orderBy(F.col("listed").desc(), "confusions")
+    first = answers.withColumn("r", F.rank().over(best)).where("r = 1").drop("r").checkpoint()
+    several = first.groupBy("word").agg(F.count("*").alias("k"), F.max("listed").alias("l")).where("k > 1 OR NOT l").select("word")
+    asked = broadcast_if_small(several)
+    look = lambda i: F.lower(F.get("words", i))
+    spots = content.where("size(words) > 1").select("words", F.posexplode("words").alias("i", "token")).withColumn("word", F.lower("token")).join(asked, "word", "left_semi")
+    spots = spots.select("word", look(F.col("i") - 1).alias("before"), look(F.col("i") + 1).alias("after")).distinct()
+    both = spots.join(first.select("word", "meant"), "word")
+    pair = lambda a, b: F.xxhash64(a, b)
+    wanted = both.where("before IS NOT NULL").select("word", "meant", pair("before", "meant").alias("pair"))
+    wanted = wanted.unionByName(both.where("after IS NOT NULL").select("word", "meant", pair("meant", "after").alias("pair"))).distinct().checkpoint()
+    pairs = content.where("size(words) > 1").select(F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.xxhash64(look(i), look(i + 1)))).alias("pair"))
+    seen = pairs.join(broadcast_if_small(wanted.select("pair").distinct()), "pair", "left_semi").groupBy("pair").agg(F.count("*").alias("n"))
+    context = wanted.join(seen, "pair").groupBy("word", "meant").agg(F.sum("n").alias("context"))
+    ranked = first.join(context, ["word", "meant"], "left").where(F.col("listed") | (F.col("context") >= OTHER_CONTEXTS))
+    order = F.struct(F.coalesce("context", F.lit(0)).alias("c"), "frequency", "meant", "confusions")
+    return ranked.groupBy("word").agg(F.max(order).alias("b")).select("word", F.col("b.meant").alias("meant"), F.col("b.confusions").alias("confusions"))
 
 
 def running_lines(lines: DataFrame, books: DataFrame | None = None) -> DataFrame:
@@ -501,7 +539,7 @@ def _defects(lines: DataFrame, counts: DataFrame, running: DataFrame) -> DataFra
     known_n = F.coalesce("known", F.lit(0))
     unknown = asked.where(has_letter).join(vocabulary.select("word", F.col("n").alias("known")), "word", "left").withColumn("known", known_n)
     unknown = unknown.where(F.col("known") * MISREAD_RATIO <= most)
-    meant = look_up(unknown, vocabulary).checkpoint()
+    meant = chosen(look_up(unknown, vocabulary), content).checkpoint()
     # an opening bracket alone before a known word is no misreading
     bare = meant.where("startswith(word, '(')").withColumn("rest", F.expr("substring(word, 2)"))
     plain = bare.join(vocabulary.select(F.col("word").alias("rest")), "rest", "left_semi").select("word")

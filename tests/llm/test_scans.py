@@ -126,3 +126,46 @@ def test_long_page_is_taken_whole():
     text = "\n".join(BODY * 3000)
     assert scans.is_scan(text)
     assert len(scans.take_apart(text)) == len(BODY) * 3000
+
+
+def cheapest_script(printed, read):
+    """(cost, not all known confusions, no sure one) of the best edit script by the whole table of edits, for words that differ."""
+    known = set(scans.CONFUSIONS)
+    cells = {(0, 0): {(0, True, False)}}
+    for i in range(len(printed) + 1):
+        for j in range(len(read) + 1):
+            for cost, listed, sure in list(cells.get((i, j), ())):
+                steps = [(a, b, scans.CONFUSION, listed, sure or (printed[i : i + a], read[j : j + b]) not in scans.DOUBTFUL) for a in (1, 2) for b in (1, 2) if (printed[i : i + a], read[j : j + b]) in known and i + a <= len(printed) and j + b <= len(read)]
+                steps += [(a, b, scans.OTHER_EDIT, False, sure) for a, b in ((1, 0), (0, 1), (1, 1), (1, 2), (2, 1))]
+                steps += [(1, 1, 0, listed, sure)] if printed[i : i + 1] and printed[i : i + 1] == read[j : j + 1] else []
+                for a, b, more, k, s in steps:
+                    if cost + more <= scans.MOST_COST and i + a <= len(printed) and j + b <= len(read):
+                        cells.setdefault((i + a, j + b), set()).add((cost + more, k, s))
+    ends = [(c, not k, not s) for c, k, s in cells.get((len(printed), len(read)), ()) if c]
+    return min(ends) if ends and printed != read else None
+
+
+def test_automaton_finds_every_word_within_the_bound():
+    import random
+
+    rng = random.Random(4)
+    make = lambda: "".join(rng.choices("eclirnmuhdt", k=rng.randint(1, 6)))
+    vocabulary = list({make() for _ in range(200)})
+    trie = scans.Trie((w, i + 1) for i, w in enumerate(vocabulary))
+    for _ in range(80):
+        read = make()
+        got = {w: (x[0], not x[3], not x[2]) for w, x in trie.within(read, others=True).items()}
+        assert got == {w: best for w in vocabulary if (best := cheapest_script(w, read))}
+
+
+def test_the_words_beside_decide(spark):
+    scans.ensure_checkpoint_dir(spark)
+    answers = spark.createDataFrame(
+        [("cat", "eat", 1, 90, True), ("cat", "oat", 1, 500, True), ("membrxne", "membrane", 2, 50, False), ("polaxity", "polarity", 2, 50, False), ("flnx", "flux", 1, 9, True)],
+        "word string, meant string, confusions int, frequency long, listed boolean",
+    )
+    lines = [["They", "cat", "bread"], ["they", "eat", "bread"], ["the", "Membrxne", "lets"], ["the", "membrane", "lets"], ["a", "polaxity", "b"], ["flnx"], None]
+    content = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "line_no int, words array<string>")
+    got = {r.word: r.meant for r in scans.chosen(answers, content).collect()}
+    assert got == {"cat": "eat", "membrxne": "membrane", "flnx": "flux"}
+    assert scans.chosen(answers.where(F.lit(False)), content).count() == 0
