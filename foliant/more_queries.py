@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as tx
 from foliant.functions import titles as ti
 from foliant.operators import claims, notes, parts, structure
-from foliant.queries import _FIELDS, _GARBLE, _LINES, _OUTLINE, query
+from foliant.queries import _FIELDS, _GARBLE, _LINES, _OUTLINE, _TOKENS, query
 from foliant.session import read_table
 
 
@@ -45,7 +45,12 @@ def page_range_texts(spark, sf):
     return parts.range_texts(read_table(spark, sf, "pages"))
 
 
-@query()
+@query(
+    f"""WITH {_OUTLINE}, once AS (SELECT book, page_index, max({_TOKENS}) AS tokens FROM pages WHERE text IS NOT NULL AND page_index IS NOT NULL GROUP BY ALL),
+sized AS (SELECT DISTINCT s.book, section, o.page_index, tokens FROM sections s JOIN once o ON s.book = o.book AND o.page_index BETWEEN first_page AND last_page),
+w AS (SELECT *, sum(tokens) OVER (PARTITION BY book, section ORDER BY page_index) - tokens AS before, sum(tokens) OVER (PARTITION BY book, section) AS total FROM sized)
+SELECT book, section, CAST(floor(before / (total / greatest(ceil(total / CAST(1500 AS DOUBLE)), CAST(1 AS DOUBLE)))) AS INTEGER) AS part, min(page_index) AS first_page, max(page_index) AS last_page, CAST(sum(tokens) AS BIGINT) AS tokens FROM w GROUP BY ALL"""
+)
 def section_parts(spark, sf):
     """Sections cut into parts of about 1,500 tokens."""
     p = read_table(spark, sf, "pages")
@@ -97,9 +102,9 @@ def heading_order(spark, sf):
 
 @query()
 def title_numbers(spark, sf):
-    """Chapter numbers and bare titles of the first lines of pages."""
-    p = read_table(spark, sf, "pages").where("text IS NOT NULL").select("page_id", F.split("text", "\n")[0].alias("line"))
-    return p.select("page_id", ti.chapter_number(F.col("line")).alias("chapter"), ti.without_number(F.col("line")).alias("title"), ti.is_introduction(F.col("line")).alias("introduction")).where("chapter IS NOT NULL")
+    """Chapter numbers and bare titles of all lines that have them."""
+    p = read_table(spark, sf, "pages").where("text IS NOT NULL").select("page_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return p.select("page_id", "line_no", ti.chapter_number(F.col("line")).alias("chapter"), ti.without_number(F.col("line")).alias("title"), ti.is_introduction(F.col("line")).alias("introduction")).where("chapter IS NOT NULL")
 
 
 _BARE = r"trim(regexp_replace(regexp_replace(regexp_replace({v}, '\[p\.?\s*[^\]]*\]', ' ', 'g'), '\(covers:\s*([^)]*)\)', ' ', 'g'), '\s+', ' ', 'g'), ' ')"
@@ -115,12 +120,24 @@ def note_claims(spark, sf):
     return claims.claims(read_table(spark, sf, "note_blocks")).select("claim_id", "block_no", "field_no", "key", "verbatim")
 
 
-@query()
+_ISSUES = rf"""{_CLAIMS},
+units AS (SELECT claim_id, list_distinct(list_concat(regexp_extract_all(regexp_replace(lower(claim), '\p{{Han}}', ' ', 'g'), '\p{{L}}{{3,}}|[0-9]+(?:[.,][0-9]+)*'),
+  list_filter(list_transform(range(1, length(claim)), lambda i: substring(claim, i, 2)), lambda x: regexp_full_match(x, '\p{{Han}}{{2}}')))) AS us FROM c WHERE key = 'why'),
+quoted AS (SELECT claim_id, q, length(regexp_replace(lower(q), '[^\p{{L}}\p{{N}}]', '', 'g')) AS n FROM (SELECT claim_id, unnest(quotes) AS q FROM c)),
+issues AS (SELECT claim_id, 'no-citation' AS code FROM c WHERE len(quotes) = 0
+  UNION ALL SELECT DISTINCT claim_id, 'quote-short' FROM quoted WHERE NOT ((len(regexp_extract_all(q, '\S+')) >= 4 AND n >= 12) OR (len(regexp_extract_all(q, '{tx.CJK}')) * 2 > n AND n >= 8))
+  UNION ALL SELECT claim_id, 'says-nothing' FROM units WHERE len(list_filter(us, lambda u: u NOT IN ({", ".join(repr(w) for w in ti.META_WORDS)}))) < 2)"""
+
+
+@query(f"WITH {_ISSUES} SELECT * FROM issues")
 def claim_issues(spark, sf):
     return claims.claim_issues(claims.claims(read_table(spark, sf, "note_blocks")))
 
 
-@query()
+@query(
+    f"""WITH {_ISSUES}, st AS (SELECT c.block_no, CASE WHEN i.claim_id IS NOT NULL THEN 2 WHEN verbatim THEN 0 ELSE 1 END AS r FROM c LEFT JOIN (SELECT DISTINCT claim_id FROM issues) i ON c.claim_id = i.claim_id)
+SELECT block_no, CASE max(r) WHEN 2 THEN 'warn' WHEN 1 THEN 'pending' ELSE 'ok' END AS status, count(*) AS claims FROM st GROUP BY block_no"""
+)
 def block_trust(spark, sf):
     """Status of every block: the worst of its claims."""
     c = claims.claims(read_table(spark, sf, "note_blocks"))

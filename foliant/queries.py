@@ -37,12 +37,15 @@ def _n(pattern: str, text: str = "text") -> str:
     return f"len(regexp_extract_all({text}, '{pattern}'))"
 
 
+_TOKENS = f"""CAST(floor((length(text) - {_n(tx.CJK)} - {_n(tx.INDIC)} - {_n(tx.SEMITIC)} - {_n(tx.CYRILLIC_GREEK)}) / CAST(4 AS DOUBLE) + {_n(tx.CJK)} * CAST(1.2 AS DOUBLE)
+    + {_n(tx.INDIC)} * CAST(0.5 AS DOUBLE) + {_n(tx.SEMITIC)} * CAST(0.4 AS DOUBLE) + {_n(tx.CYRILLIC_GREEK)} * CAST(0.33 AS DOUBLE)) AS BIGINT) + 1"""
+
+
 @query(
     f"""
 SELECT doc_id,
   CASE WHEN text IS NOT NULL THEN CAST({_WORDS} + {_n(tx.CJK)} / 2.0 + {_n(tx.NO_SPACES)} / 3.0 AS DOUBLE) END AS n_words,
-  CAST(floor((length(text) - {_n(tx.CJK)} - {_n(tx.INDIC)} - {_n(tx.SEMITIC)} - {_n(tx.CYRILLIC_GREEK)}) / CAST(4 AS DOUBLE) + {_n(tx.CJK)} * CAST(1.2 AS DOUBLE)
-    + {_n(tx.INDIC)} * CAST(0.5 AS DOUBLE) + {_n(tx.SEMITIC)} * CAST(0.4 AS DOUBLE) + {_n(tx.CYRILLIC_GREEK)} * CAST(0.33 AS DOUBLE)) AS BIGINT) + 1 AS n_tokens,
+  {_TOKENS} AS n_tokens,
   CAST(length(text) AS BIGINT) AS n_chars FROM documents
 """
 )
@@ -474,7 +477,18 @@ def mutate_numbers(spark, sf):
     return _planted(spark, sf)
 
 
-@query()
+def _words_sql() -> str:
+    """The first word of the table that a quote holds as a word of its own, its opposite, and the quote with every such word exchanged."""
+    pairs = [(a, b) for table in verification.ANTONYMS.values() for x, y in table for a, b in ((x, y), (y, x))]
+    edge = r"[^\p{L}\p{N}]"
+    case = lambda then: "CASE " + " ".join(f"WHEN regexp_matches(quote, '(?:^|{edge}){a}(?:{edge}|$)') THEN {then(a, b)}" for a, b in pairs) + " END"
+    # neighbours share the mark between them, so that the second pass takes every other one
+    once = lambda text, a, b: f"regexp_replace({text}, '(^|{edge}){a}($|{edge})', '\\1{b}\\2', 'g')"
+    word, opposite, mutated = case(lambda a, b: f"'{a}'"), case(lambda a, b: f"'{b}'"), case(lambda a, b: once(once("quote", a, b), a, b))
+    return f"SELECT * FROM (SELECT check_id, {word} AS word, {opposite} AS opposite, {mutated} AS mutated FROM quote_checks WHERE quote IS NOT NULL) WHERE word IS NOT NULL"
+
+
+@query(_words_sql())
 def mutate_words(spark, sf):
     """Quotes with a word put into its opposite."""
     return verification.false_words(read_table(spark, sf, "quote_checks").where("quote IS NOT NULL"), "check_id", "quote")

@@ -18,6 +18,7 @@ def local_session(cpus: int | str = "*", app: str = "foliant", **conf: str) -> S
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
