@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.plans.shapes import hash_uniform
+from foliant.plans.shapes import hash_uniform, split_row_number
 
 #: Days until the next review by box, and days of reviews after learning.
 BOX_DAYS = [1, 3, 7, 14]
@@ -27,14 +27,24 @@ def preferred_first(pool: DataFrame, key: str, preferred: Column, n: int, seed:
     return pool.withColumn("preferred", preferred).withColumn("u", F.round(hash_uniform(F.col(key), seed=seed), 12)).orderBy(F.col("preferred").desc(), "u", key).limit(n)
 
 
+#: Parts of the unit interval into which hashed orders of one group are divided.
+ORDER_PARTS = 256
+
+
 def interleaved(rows: DataFrame, group: str, key: str, keys: list[str] | None = None, seed: int = 0) -> DataFrame:
-    """place of every row in an order in which groups are spread evenly: by (rank in its group - 0.5) / size of the group."""
+    """place of every row in an order in which groups are spread evenly: by (rank in its group - 0.5) / size of the group.
+
+    Both orders run over the unit interval, by hash and by spot, and are numbered in ORDER_PARTS parts, so that a hot group is no single task.
+    """
     keys = keys or []
-    inner = Window.partitionBy(*keys, group)
-    rank = F.row_number().over(inner.orderBy(hash_uniform(F.col(key), seed=seed), key))
-    spot = F.round((rank - 0.5) / F.count("*").over(inner), 9)
-    outer = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("spot", group, key)
-    return rows.withColumn("spot", spot).withColumn("place", F.row_number().over(outer)).drop("spot")
+    part = lambda u: F.floor(u * ORDER_PARTS)
+    hashed = rows.withColumn("__u", hash_uniform(F.col(key), seed=seed))
+    ranked = split_row_number(hashed, [*keys, group], part(F.col("__u")), [F.col("__u"), F.col(key)], "__rank")
+    sizes = rows.groupBy(*[F.col(k).alias(f"__of{i}") for i, k in enumerate([*keys, group])]).agg(F.count("*").alias("__size"))
+    same = [F.col(k).eqNullSafe(F.col(f"__of{i}")) for i, k in enumerate([*keys, group])]
+    spots = ranked.join(sizes, same).select(*rows.columns, F.round((F.col("__rank") - 0.5) / F.col("__size"), 9).alias("__spot"))
+    placed = split_row_number(spots, keys, part(F.col("__spot")), [F.col("__spot"), F.col(group), F.col(key)], "place")
+    return placed.drop("__spot")
 
 
 def distinct_results(results: DataFrame) -> DataFrame:
@@ -103,6 +113,16 @@ def fill_days(work: DataFrame, keys: list[str], minutes: str, order: list[Column
 
 
 def sessions(results: DataFrame, keys: list[str], gap: str = "30 minutes") -> DataFrame:
-    """Study sessions: answers no further apart than the gap."""
+    """Study sessions: answers no further apart than the gap.
+
+    The answers of one day are brought into sessions first, by key and day; sessions that go on over midnight are then joined among those rows, of which a day has a bounded
+    number however many answers there are.
+    """
     timed = results.withColumn("ts", F.col("at").cast("timestamp"))
-    return timed.groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("answers"), F.sum(F.col("correct").cast("int")).alias("right"), F.min("at").alias("first_at"), F.max("at").alias("last_at")).drop("w")
+    daily = timed.groupBy(*keys, F.to_date("ts").alias("__day"), F.session_window("ts", gap).alias("w"))
+    daily = daily.agg(F.count("*").alias("answers"), F.sum(F.col("correct").cast("int")).alias("right"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    w = Window.partitionBy(*keys).orderBy("first_at")
+    apart = F.col("first_at").cast("timestamp") > F.lag("last_at").over(w).cast("timestamp") + F.expr(f"INTERVAL {gap}")
+    runs = daily.withColumn("__run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = runs.groupBy(*keys, "__run").agg(F.sum("answers").alias("answers"), F.sum("right").alias("right"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+    return joined.drop("__run")

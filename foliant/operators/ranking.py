@@ -14,9 +14,9 @@ WEIGHTS = {"past": 3.0, "objectives": 1.0, "exercises": 1.0, "reuse": 0.8, "term
 def weighted_score(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     """score: each signal divided by its largest value (0 where that is 0), weighted and added."""
     total: Column = F.lit(0.0).cast("double")
+    tops = df.agg(F.struct(*[F.max(c).alias(c) for c in weights])).scalar()  # all of them in one pass
     for c, w in weights.items():
-        top = df.agg(F.max(c)).scalar()
-        total = total + F.coalesce(F.col(c) / F.nullif(top, F.lit(0)), F.lit(0.0)) * F.lit(w).cast("double")
+        total = total + F.coalesce(F.col(c) / F.nullif(tops[c], F.lit(0)), F.lit(0.0)) * F.lit(w).cast("double")
     return df.withColumn("score", F.round(total, 6))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as tx
-from foliant.plans.shapes import hash_uniform
+from foliant.plans.shapes import hash_uniform, split_row_number
 from foliant.session import broadcast_if_small, ensure_checkpoint_dir
 
 #: Words and their opposites, by language, in order of use.
@@ -49,10 +49,13 @@ def false_words(claims: DataFrame, claim_id: str, text: str) -> DataFrame:
     return claims.select(claim_id, choice.alias("word"), opposite.alias("opposite"), mutated.alias("mutated")).where("word IS NOT NULL")
 
 
-def batches(claims: DataFrame, keys: list[str], order: list[Column], size: int = 12) -> DataFrame:
-    """Claims in batches of fixed size within each group: batch number and place, both from 1."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return claims.withColumn("n", n).withColumn("batch", F.ceil(F.col("n") / size).cast("int")).withColumn("place", ((F.col("n") - 1) % size + 1).cast("int")).drop("n")
+def batches(claims: DataFrame, keys: list[str], order: list[Column], size: int = 12, span: int = 1 << 16) -> DataFrame:
+    """Claims in batches of fixed size within each group: batch number and place, both from 1. The first column of the order is a whole number, rising.
+
+    Spans of that number are counted apart, so that a group as large as a third of all claims is no single task.
+    """
+    each = split_row_number(claims, keys, F.floor(order[0] / span), order, "n")
+    return each.withColumn("batch", F.ceil(F.col("n") / size).cast("int")).withColumn("place", ((F.col("n") - 1) % size + 1).cast("int")).drop("n")
 
 
 def batch_scores(judged: DataFrame, keys: list[str]) -> DataFrame:

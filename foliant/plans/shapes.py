@@ -34,6 +34,22 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def split_row_number(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
+    """row_number() over keys in an order whose first part is a bucket number, without bringing the rows of one key into one task.
+
+    bucket must not fall along the order. Rows are numbered within (keys, bucket), and the sizes of a key's buckets, one small row each, give every bucket its
+    offset. Rows of a null bucket come first, as nulls do in the order.
+    """
+    b = df.withColumn("__bucket", F.coalesce(bucket.cast("long"), F.lit(-(1 << 62))))
+    sizes = b.groupBy(*keys, "__bucket").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    offsets = offsets.select("__before", *[F.col(k).alias(f"__of{i}") for i, k in enumerate([*keys, "__bucket"])])
+    within = b.withColumn("__within", F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy(*order)))
+    joined = within.join(offsets, [F.col(k).eqNullSafe(F.col(f"__of{i}")) for i, k in enumerate([*keys, "__bucket"])])
+    return joined.select(*df.columns, (F.col("__within") + F.col("__before")).cast("int").alias(name))
+
+
 def shingle_candidates(texts: DataFrame, text_id: str, text_key: str, probes: DataFrame, probe_id: str, probe_key: str, size: int = 12) -> DataFrame:
     """Pairs in which the text's key holds the first `size` characters of the probe's key, found by an equi-join on hashes.
 

@@ -608,7 +608,7 @@ def review_schedule(spark, sf):
 
 
 @query(
-    f"""WITH {_RESULTS}, g AS (SELECT *, CASE WHEN "at" - lag("at") OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM d WINDOW w AS (PARTITION BY course ORDER BY "at", result_no)),
+    f"""WITH {_RESULTS}, g AS (SELECT *, CASE WHEN "at" - lag("at") OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM d WINDOW w AS (PARTITION BY course ORDER BY "at", result_no)),
 s AS (SELECT *, sum(n) OVER (PARTITION BY course ORDER BY "at", result_no ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT course, count(*) AS answers, CAST(sum(CAST(correct AS INTEGER)) AS BIGINT) AS "right", min("at") AS first_at, max("at") AS last_at FROM s GROUP BY course, k"""
 )

@@ -262,3 +262,21 @@ def test_calculations_of_a_block_share_their_names(spark):
     got = {(r.block_no, r.field_no): (r.ok, r.problem) for r in notes.calculations(spark.createDataFrame(rows, schema)).collect()}
     assert [got[1, i][0] for i in (0, 1, 2, 3, 4, 6)] == [True, True, True, True, False, False]
     assert got[1, 4][1] == "the calculation gives 62.76" and got[2, 0] == (False, "unknown name q") and len(got) == 7
+
+
+def test_split_row_numbers_equal_whole_ones(spark):
+    from pyspark.sql import Window
+
+    df = spark.createDataFrame([(None if i % 11 == 0 else i % 3, None if i % 13 == 0 else (i * 37) % 50, i) for i in range(200)], "k int, v int, i int")
+    whole = F.row_number().over(Window.partitionBy("k").orderBy("v", "i"))
+    got = shapes.split_row_number(df, ["k"], F.floor(F.col("v") / 7), [F.col("v"), F.col("i")], "n").withColumn("want", F.lit(0)).select("i", "n")
+    assert {(r.i, r.n) for r in got.collect()} == {(r.i, r.w) for r in df.select("i", whole.alias("w")).collect()}
+    none = shapes.split_row_number(df.where("i < 0"), [], F.col("v"), [F.col("v")], "n")
+    assert none.columns == ["k", "v", "i", "n"] and none.count() == 0
+
+
+def test_sessions_over_midnight(spark):
+    at = [dt.datetime(2026, 3, 1, 23, 10), dt.datetime(2026, 3, 1, 23, 39), dt.datetime(2026, 3, 2, 0, 8), dt.datetime(2026, 3, 2, 0, 38), dt.datetime(2026, 3, 2, 9, 0)]
+    df = spark.createDataFrame([("c", t, True) for t in at] + [(None, at[0], False)], "course string, at timestamp_ntz, correct boolean")
+    got = sorted((str(r.course), r.answers, r.right, r.first_at) for r in practice.sessions(df, ["course"]).collect())
+    assert got == [("None", 1, 0, at[0]), ("c", 1, 1, at[4]), ("c", 4, 4, at[0])]
