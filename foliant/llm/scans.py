@@ -30,6 +30,8 @@ KNOWN_TIMES = 2
 MISREAD_RATIO = 100
 #: Words of the vocabulary that one trie holds, and looked-up words that one task takes; a trie is copied once for so many of them, a looked-up word once for each trie.
 TRIE_WORDS, LOOKED_UP = 300_000, 1_000_000
+#: Values up to which a column is written into a plan instead of joined.
+HELD_VALUES = 5_000
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 300_000
 #: Cost of all edits of one word, of a known confusion and of any other edit.
@@ -402,6 +404,12 @@ def look_up(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return pairs.applyInPandas(search, "word string, meant string, confusions int, frequency long, listed boolean")
 
 
+def _held(df: DataFrame, column: str) -> list | None:
+    """The values of a column where they are at most HELD_VALUES, to be written into the plan; null where they are more, which takes a join."""
+    values = [r[0] for r in df.select(column).limit(HELD_VALUES + 1).collect()]
+    return values if len(values) <= HELD_VALUES else None
+
+
 def chosen(answers: DataFrame, content: DataFrame) -> DataFrame:
     """word, meant and confusions of the best answer of look_up() to every word.
 
@@ -411,16 +419,25 @@ def chosen(answers: DataFrame, content: DataFrame) -> DataFrame:
     best = Window.partitionBy("word").orderBy(F.col("listed").desc(), "confusions")
     first = answers.withColumn("r", F.rank().over(best)).where("r = 1").drop("r").checkpoint()
     several = first.groupBy("word").agg(F.count("*").alias("k"), F.max("listed").alias("l")).where("k > 1 OR NOT l").select("word")
-    asked = broadcast_if_small(several)
-    look = lambda i: F.lower(F.get("words", i))
-    spots = content.where("size(words) > 1").select("words", F.posexplode("words").alias("i", "token")).withColumn("word", F.lower("token")).join(asked, "word", "left_semi")
-    spots = spots.select("word", look(F.col("i") - 1).alias("before"), look(F.col("i") + 1).alias("after")).distinct()
-    both = spots.join(first.select("word", "meant"), "word")
-    pair = lambda a, b: F.xxhash64(a, b)
-    wanted = both.where("before IS NOT NULL").select("word", "meant", pair("before", "meant").alias("pair"))
-    wanted = wanted.unionByName(both.where("after IS NOT NULL").select("word", "meant", pair("meant", "after").alias("pair"))).distinct().checkpoint()
-    pairs = content.where("size(words) > 1").select(F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.xxhash64(look(i), look(i + 1)))).alias("pair"))
-    seen = pairs.join(broadcast_if_small(wanted.select("pair").distinct()), "pair", "left_semi").groupBy("pair").agg(F.count("*").alias("n"))
+    lined = content.where("size(words) > 1").select(F.transform("words", F.lower).alias("words"))
+    # lines with such words, and each word's neighbours
+    look = lambda i: F.get("words", i)
+    open_words = _held(several, "word")
+    met = lined if open_words is None else lined.where(F.arrays_overlap("words", F.array(*map(F.lit, open_words or [""]))))
+    spots = met.select("words", F.posexplode("words").alias("i", "word")).join(first, "word")
+    if open_words is None:
+        spots = spots.join(several, "word", "left_semi")
+    beside = F.array(F.when(look(F.col("i") - 1).isNotNull(), F.xxhash64(look(F.col("i") - 1), "meant")), F.when(look(F.col("i") + 1).isNotNull(), F.xxhash64("meant", look(F.col("i") + 1))))
+    wanted = spots.select("word", "meant", F.explode(beside).alias("pair")).where("pair IS NOT NULL").distinct().checkpoint()
+    # how often the lines hold them with what the word may mean
+    pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.xxhash64(look(i), look(i + 1)))
+    known_pairs = _held(wanted.select("pair").distinct(), "pair")
+    if known_pairs is not None:
+        pairs = F.filter(pairs, lambda h: h.isin(known_pairs))
+    seen = lined.select(F.explode(pairs).alias("pair"))
+    if known_pairs is None:
+        seen = seen.join(wanted.select("pair").distinct(), "pair", "left_semi")
+    seen = seen.groupBy("pair").agg(F.count("*").alias("n"))
     context = wanted.join(seen, "pair").groupBy("word", "meant").agg(F.sum("n").alias("context"))
     ranked = first.join(context, ["word", "meant"], "left").where(F.col("listed") | (F.col("context") >= OTHER_CONTEXTS))
     order = F.struct(F.coalesce("context", F.lit(0)).alias("c"), "frequency", "meant", "confusions")
@@ -523,13 +540,13 @@ def _defects(lines: DataFrame, counts: DataFrame, running: DataFrame) -> DataFra
     broken = broken.withColumn("n_whole", n_whole).withColumn("n_compound", n_compound).checkpoint()
 
     # what is unknown among single words, joined words and compounds
-    singles = content.select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    singles = content.select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias("n")).withColumn("word", _keys(F.col("token"))).checkpoint()
     # known ones are asked too: what they were misread from may be far more frequent
     unseen = F.expr("n_whole < 2 AND n_compound < 2")
     joined = broken.where(unseen | (F.greatest("n_whole", "n_compound") * MISREAD_RATIO <= most))
     joined = joined.withColumn("ask_whole", unseen | (F.col("n_whole") >= 2)).withColumn("ask_compound", unseen | (F.col("n_compound") >= 2))
     asked = (
-        singles.select(_keys(F.col("token")).alias("word"), "n")
+        singles.select("word", "n")
         .unionByName(joined.where("head IS NOT NULL AND ask_whole").select(F.col("whole").alias("word"), F.lit(1).cast("long").alias("n")))
         .unionByName(joined.where("compound IS NOT NULL AND ask_compound").select(F.col("compound").alias("word"), F.lit(1).cast("long").alias("n")))
         .groupBy("word")
@@ -545,10 +562,11 @@ def _defects(lines: DataFrame, counts: DataFrame, running: DataFrame) -> DataFra
     plain = bare.join(vocabulary.select(F.col("word").alias("rest")), "rest", "left_semi").select("word")
     meant = meant.join(plain, "word", "left_anti")
 
-    tokens = content.select("page_id", "line_no", F.explode("words").alias("token")).distinct()
-    digits = tokens.where(F.col("token").rlike(r"^(?=.*[0-9])(?=.*[lIO])[0-9lIO]+$")).select("page_id", "line_no", "token", F.translate("token", "lIO", "110").alias("meant"))
-    keyed = singles.select("token").withColumn("word", _keys(F.col("token"))).join(meant, "word").select("token", "meant")
-    misread = tokens.join(broadcast_if_small(keyed), "token").select("page_id", "line_no", "token", "meant").unionByName(digits)
+    # digits among which letters stand are read as digits; both ways are few rows, told apart before anything is shuffled
+    spelled = singles.where(F.col("token").rlike(r"^(?=.*[0-9])(?=.*[lIO])[0-9lIO]+$")).select("token", F.translate("token", "lIO", "110").alias("meant"))
+    keyed = singles.select("token", "word").join(meant, "word").select("token", "meant").unionByName(spelled).checkpoint()
+    tokens = content.select("page_id", "line_no", F.explode(F.array_distinct("words")).alias("token"))
+    misread = tokens.join(broadcast_if_small(keyed), "token").select("page_id", "line_no", "token", "meant")
 
     # a misread broken word: the part that differs tells the line
     answers = joined.join(meant.select(F.col("word").alias("whole"), F.col("meant").alias("as_whole"), F.col("confusions").alias("c_whole")), "whole", "left")
