@@ -18,9 +18,6 @@ from pyspark.sql import types as T
 
 from foliant.llm.canonical import LOOK_ALIKE
 
-#: Times a text may have been decoded wrongly in a row.
-ROUNDS = 4
-
 #: Byte structure of the multibyte encodings (after the first byte the trail bytes).
 STRUCTURE = {
     "utf-8": "[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}",
@@ -459,16 +456,21 @@ _PLAIN_LINE = regex.compile(
 _GLUED = regex.compile(f"[A-Za-z][{''.join(sorted(UNLIKE))}ΣσφδεταΓΘΦπ]|[{''.join(sorted(UNLIKE))}ΣσφδεταΓΘΦπ][A-Za-z]|(?:^|\\s)[α](?:\\s|$)")
 
 
-def repair_line(line: str) -> tuple[str, bool]:
-    """A line with its wrongly decoded passages restored, and whether it had any."""
-    if line.isascii() or not (_SAFE.search(line) or _CAPITAL_INSIDE.search(line)):
+def repair_line(line: str, gates: bool = True) -> tuple[str, bool]:
+    """A line with its wrongly decoded passages restored, and whether it had any; decoded again as long as something changes.
+
+    The gates pass lines of plain letters by, in which the stages find nothing or, rarely, take a line for wrong that is not; without them every stage reads every
+    line that is not ASCII.
+    """
+    if line.isascii() or gates and not (_SAFE.search(line) or _CAPITAL_INSIDE.search(line)):
         return line, False
     wrong = False
-    if _PLAIN_LINE.fullmatch(line) and not (_ODD_SCRIPT.search(line) or _GLUED.search(line) or _CAPITAL_INSIDE.search(line)):
+    if gates and _PLAIN_LINE.fullmatch(line) and not (_ODD_SCRIPT.search(line) or _GLUED.search(line) or _CAPITAL_INSIDE.search(line)):
         # nothing but letters of the ten languages in good order; Chinese and Japanese may still be another reading of UTF-8
         spans = _wide_read(line) if any("⺀" <= c <= "鿿" for c in line) else []
         return (_apply(line, spans), True) if spans else (line, False)
-    for _ in range(ROUNDS):
+    seen = {line}
+    while True:
         spans_of = (_utf8_spans(line, r) for r in READ_AS) if _any_pair().search(line) else ()
         options = [(sum(e - s for s, e, _ in f), f) for f in spans_of if f]
         if any("⺀" <= c <= "鿿" for c in line):
@@ -479,8 +481,9 @@ def repair_line(line: str) -> tuple[str, bool]:
         spans = other if sum(e - s for s, e, _ in other) > 1.3 * most[0] else most[1]
         spans = spans or _latin_words(line)
         after = _apply(line, spans)
-        if after == line:
+        if after in seen:  # settled, or back at an earlier reading
             break
+        seen.add(after)
         line, wrong = after, True
     if wrong:  # a no-break space of such a passage may have become a plain one
         line = regex.sub(r"(?<=\s)Ã (?= )", "à", regex.sub(r"(?<=[\p{L}\p{N}.,;:!?%°)])Â(?=\s)", "", line))

@@ -1,6 +1,9 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.llm import encodings
 from foliant.llm.encodings import repair, wrongly_decoded
 
 GERMAN = "Die Größe der Oberfläche ändert sich, außerdem fällt die Übertragung für die Prüfung."
@@ -71,3 +74,17 @@ def test_table(spark):
     got = sorted((r.page_id or 0, r.restored[:20]) for r in found.collect())
     assert got == sorted([(1, GERMAN[:20])] * 2 + [(0, GERMAN[:20]), (5, GERMAN[:20])])
     assert wrongly_decoded(pages.where(F.lit(False))).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/pages.parquet"), reason="no test tables here")
+def test_gates_change_nothing(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("text IS NOT NULL").select("text").collect()]
+    lines = {line for text in texts for line in text.split("\n")}
+    assert all(encodings.repair_line(x) == encodings.repair_line(x, gates=False) for x in lines)
+
+
+def test_any_number_of_rounds():
+    text = "Größe und Übung"
+    for _ in range(6):
+        text = text.encode().decode("cp1252", "strict") if all(b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) for b in text.encode()) else text
+    assert encodings.repair(text)[1] == "Größe und Übung"
