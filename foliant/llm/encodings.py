@@ -142,7 +142,7 @@ def _utf8_spans(line: str, read_as: str) -> list[tuple[int, int, str]]:
             back = m.group().translate(table).encode("latin-1").decode("utf-8")
         except UnicodeDecodeError:
             continue
-        if all(map(_expected, back)) or (sum(map(_expected, back)) >= 0.9 * len(back) and len(back) > 12) or _automaton("utf-8").fullmatch(back):
+        if all(map(_expected, back)) or (sum(map(_expected, back)) >= 0.9 * len(back) and len(back) > 12) or _automaton("utf-8").fullmatch(back) or _span_automaton(read_as).fullmatch(back):
             found.append((m.start(), m.end(), back))
     if not found:
         return []
