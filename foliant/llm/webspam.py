@@ -43,6 +43,8 @@ for _lang, _words in FUNCTION_WORDS.items():
 _LINK = regex.compile(r"<a\b[^>]*>.*?</a>|!?\[[^\]\n]*\]\([^)\n]*\)|(?:https?://|www\.)[^\s<>\"')]+|<br\s*/?>", regex.I | regex.S)
 _TAG = regex.compile(r"(?<!\S)#[\p{L}\p{N}][\p{L}\p{M}\p{N}_-]*")
 _PRODUCT = [regex.compile(x) for x in (r"\bSKU\b|\bArt\.? ?-?Nr\b|\bASIN\b", r"(?<!\d)\d+[.,]\d\d(?!\d)|[$€£¥]\s?\d", r"[★☆⭐]")]
+#: Two of the product patterns never match without one of these.
+_PRODUCT_SIGNS = ("SKU", "Art", "ASIN", "★", "☆", "⭐")
 _SEPARATOR = regex.compile(r"\s+[|»·•>–—/~*\-]+\s+|[|»·•～]|[,;:，；：、،]\s*|[.!?。！？।؟]+(?:\s+|$)|\s{2,}")
 _STRONG = regex.compile(r"\s[|»·>/~]\s|[|»·]")
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}'’-]*")
@@ -132,9 +134,9 @@ def _segments_of(text: str) -> list[str]:
     return [s for s in (x.strip() for x in _SEPARATOR.split(text)) if s]
 
 
-def _dense(text: str, words: list[str], limits: Limits) -> bool:
+def _dense(text: str, words: list[str], limits: Limits, spaced: bool = False) -> bool:
     """One keyword phrase over and over."""
-    if not text.isascii() and _UNSPACED.search(text):
+    if not spaced and not text.isascii() and _UNSPACED.search(text):
         total, density = keyword_density(text)
         return total >= limits.dense_words // 3 and density >= limits.bare_density
     words = [w for w in words if not w.isdecimal()]
@@ -169,8 +171,8 @@ def _stuffed(text: str, segments: list[str], limits: Limits) -> bool:
     return repeated >= limits.repeated_share and (joiners < 0.35 or max(words.values()) >= limits.top_share * total)
 
 
-def line_kind(line: str, limits: Limits = Limits(), words: list[str] | None = None, segments: list[str] | None = None) -> str | None:
-    """link, tags, product or keywords for a line of spam, else null. words and segments are those of the line, where they are at hand."""
+def line_kind(line: str, limits: Limits = Limits(), words: list[str] | None = None, segments: list[str] | None = None, spaced: bool = False) -> str | None:
+    """link, tags, product or keywords for a line of spam, else null. words and segments are those of the line, where they are at hand; spaced tells that its script has spaces."""
     bare = len("".join(line.split()))
     if not bare:
         return None
@@ -182,10 +184,10 @@ def line_kind(line: str, limits: Limits = Limits(), words: list[str] | None = No
         tags = _TAG.findall(line)
         if len(tags) >= 3 and len(tags) >= limits.tag_share * len(line.split()):
             return "tags"
-    if sum(bool(p.search(line)) for p in _PRODUCT) >= 2:
+    if any(x in line for x in _PRODUCT_SIGNS) and sum(bool(p.search(line)) for p in _PRODUCT) >= 2:
         return "product"
     words, segments = _words_of(line) if words is None else words, _segments_of(line) if segments is None else segments
-    return "keywords" if _stuffed(line, segments, limits) or _dense(line, words, limits) else None
+    return "keywords" if _stuffed(line, segments, limits) or _dense(line, words, limits, spaced) else None
 
 
 def _read(text: str, limits: Limits) -> tuple[float, list[str], list[str]]:
@@ -194,6 +196,7 @@ def _read(text: str, limits: Limits) -> tuple[float, list[str], list[str]]:
     rest: list[tuple[str, int, list[str]]] = []
     every_word: list[str] = []
     every_segment: list[str] = []
+    spaced = text.isascii() or not _UNSPACED.search(text)
     for line in text.split("\n"):
         bare = len("".join(line.split()))
         if not bare:
@@ -202,13 +205,13 @@ def _read(text: str, limits: Limits) -> tuple[float, list[str], list[str]]:
         words, segments = _words_of(line), _segments_of(line)
         every_word += words
         every_segment += segments
-        if line_kind(line, limits, words, segments):
+        if line_kind(line, limits, words, segments, spaced):
             spam += bare
         elif len(segments) < limits.segments:
             rest.append((line, bare, words))
     if len(rest) >= 3 and spam <= limits.spam_share * total:
         together = ". ".join(line for line, _, _ in rest)
-        if _stuffed(together, _segments_of(together), limits) or _dense(together, [w for _, _, words in rest for w in words], limits):  # one keyword phrase to a line
+        if _stuffed(together, _segments_of(together), limits) or _dense(together, [w for _, _, words in rest for w in words], limits, spaced):  # one keyword phrase to a line
             spam += sum(bare for _, bare, _ in rest)
     return spam / total, every_word, every_segment
 
