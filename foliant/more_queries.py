@@ -228,3 +228,56 @@ m AS (SELECT *, length(regexp_replace(text, '\s', '', 'g')) AS chars, coalesce(c
   len(list_filter(string_split(text, chr(10)), lambda x: (contains(x, '=') AND length(x) < 90) OR len(regexp_extract_all(x, '[=+×÷∑∫√≈≠≤≥∞±^]')) >= 3 OR regexp_matches(x, '\(\d+\.\d+\)\s*$'))) AS formulas, len(regexp_extract_all(text, '[_^](?:\{{[^}}]*\}}|[\p{{L}}\p{{N}}_])')) AS scripts FROM q)
 SELECT page_id, array_to_string(list_filter([CASE WHEN chars < 30 AND covered THEN 'scanned-no-text' END, CASE WHEN chars < 30 AND NOT covered THEN 'blank' END, CASE WHEN garble > 0.01 THEN 'garbled' END,
   CASE WHEN formulas >= 3 OR scripts >= 6 THEN 'math-heavy' END, CASE WHEN coalesce(two_column, false) THEN 'two-column' END], lambda x: x IS NOT NULL), ',') AS flags FROM m"""
+
+
+from foliant.operators import lint  # noqa: E402
+
+
+def _listed(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+_OFF_LIST = " OR ".join(f"(key = '{key}' AND lower(v) NOT IN ({_listed(values)}))" for key, values in lint.ALLOWED.items())
+
+
+@query(
+    rf"""WITH {_FIELDS}, g AS (SELECT block_no, field_no, key, trim(value, ' ') AS v, starts_with(upper(trim(value, ' ')), 'UNSURE') AS unsure FROM f WHERE value IS NOT NULL AND trim(value, ' ') != ''),
+i AS (SELECT block_no, field_no, 'unsure-not-allowed' AS code FROM g WHERE unsure AND key IN ({_listed(lint.DEFINITE)})
+  UNION ALL SELECT block_no, field_no, 'unsure-reason' FROM g WHERE unsure AND key NOT IN ({_listed(lint.DEFINITE)}) AND len(regexp_extract_all(regexp_replace(v, '^[Uu][Nn][Ss][Uu][Rr][Ee][\s:]*', ''), '\S+')) < {lint.REASON_WORDS}
+  UNION ALL SELECT block_no, field_no, 'bad-value' FROM g WHERE NOT unsure AND ({_OFF_LIST})
+  UNION ALL SELECT block_no, field_no, 'no-citation' FROM g WHERE NOT unsure AND key IN ({_listed(lint.RESTING)}) AND NOT regexp_matches(v, '\[p\.?\s*[^\]]+\]')
+  UNION ALL SELECT block_no, field_no, 'bad-id' FROM g WHERE NOT unsure AND key = 'covers' AND len([x FOR x IN string_split(v, ',') IF NOT regexp_matches(trim(x, ' '), '^[A-Z]{{1,4}}-[\w.-]+$')]) > 0
+  UNION ALL SELECT block_no, field_no, 'no-pair' FROM g WHERE NOT unsure AND key = 'misconception' AND NOT regexp_matches(v, '(?is)^wrong:.*\|\s*right:'))
+SELECT block_no, CAST(field_no AS INTEGER) AS field_no, code FROM i"""
+)
+def lint_fields(spark, sf):
+    """What is wrong with single fields of note blocks."""
+    return lint.field_issues(read_table(spark, sf, "note_blocks"))
+
+
+_QUOTE = f"regexp_extract_all(definition, '{tx.CITATION}', 2)[1]"
+_KEY_OF = "regexp_replace(lower({v}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+@query(
+    rf"""WITH {_FIELDS}, g AS (SELECT block_no, kind, field_no, key, trim(value, ' ') AS v FROM f WHERE value IS NOT NULL AND trim(value, ' ') != ''),
+q AS (SELECT block_no, arg_min(v, field_no) FILTER (key = 'type') AS type, list({_KEY_OF.format(v="v")}) FILTER (regexp_full_match(key, 'option [a-d]')) AS choices FROM g WHERE kind = 'question' GROUP BY block_no),
+k AS (SELECT block_no, arg_min(v, field_no) FILTER (key = 'plain') AS plain, arg_min(v, field_no) FILTER (key = 'definition') AS definition FROM g WHERE kind = 'concept' GROUP BY block_no),
+s AS (SELECT block_no, {_KEY_OF.format(v=_BARE.format(v="plain"))} AS said, {_KEY_OF.format(v=_QUOTE)} AS quote FROM k)
+SELECT block_no, 'few-choices' AS code FROM q WHERE lower(type) = 'mcq' AND coalesce(len(choices), 0) < {lint.LEAST_CHOICES}
+UNION ALL SELECT block_no, 'same-choices' FROM q WHERE lower(type) = 'mcq' AND len(list_distinct(choices)) < len(choices)
+UNION ALL SELECT block_no, 'plain-copies-definition' FROM s WHERE said != '' AND quote != '' AND length(said) >= length(quote) * CAST({lint.COPY_SHARE} AS DOUBLE) AND round(1 - levenshtein(said, quote) / CAST(greatest(length(said), length(quote)) AS DOUBLE), 9) >= {lint.COPY_LIKENESS}"""
+)
+def lint_blocks(spark, sf):
+    """What is wrong between the fields of note blocks."""
+    return lint.block_issues(read_table(spark, sf, "note_blocks"))
+
+
+@query(
+    rf"""WITH {_FIELDS}, c AS (SELECT DISTINCT block_no, trim(id, ' ') AS id FROM (SELECT block_no, unnest(string_split(value, ',')) AS id FROM f WHERE key = 'covers' AND value IS NOT NULL)),
+w AS (SELECT c.block_no, c.id, course FROM c JOIN note_blocks b ON c.block_no = b.block_no WHERE course IS NOT NULL AND regexp_matches(c.id, '^[A-Z]{{1,4}}-[\w.-]+$'))
+SELECT DISTINCT block_no, id FROM w WHERE NOT EXISTS (SELECT 1 FROM note_blocks n WHERE n.course = w.course AND n.id = w.id)"""
+)
+def dead_links(spark, sf):
+    """Covered ids that no block of the course has."""
+    return lint.dead_links(read_table(spark, sf, "note_blocks"))

@@ -9,14 +9,43 @@ from foliant.functions import text as tx
 from foliant.operators.structure import page_lines
 from foliant.plans.shapes import top_k
 
-#: Phrases that define a term, by language; the group is the term.
+#: Phrases that define a term, by language, as (a part that each match holds, pattern whose group is the term). Both regular-expression dialects of the SQL engines read them.
 DEFINING = {
-    "en": r"\bis called the ([a-z][a-z -]{2,40}[a-z])",
-    "en-define": r"\b[Ww]e define the ([a-z][a-z -]{2,40}?[a-z]) as ",
-    "de": r"\bnennt die ([A-ZÄÖÜ][\p{L}]{2,40}) ",
-    "fr": r"\bdéfinir (?:le|la|l’) ?([a-zà-ÿ]{3,40})",
-    "es": r"\bdefinir (?:el|la) ([a-zá-ú]{3,40})",
-}
+    "en-called": ("called", r"\bis called (?:the |an? )?([a-z][a-z -]{2,40}[a-z])"),
+    "en-known": ("known as", r"\bknown as (?:the |an? )?([a-z][a-z -]{2,40}[a-z])"),
+    "en-define": ("efine the", r"\b[Ww]e define the ([a-z][a-z -]{2,40}?[a-z]) as "),
+    "en-defined": ("defined as", r"\b(?:The|An?) ([a-z][a-z -]{2,40}?[a-z]) is defined as\b"),
+    "en-mean": ("we mean", r"\bBy (?:the |an? )?([a-z][a-z -]{2,40}?[a-z]) we mean\b"),
+    "en-term": ("term", r"\b[Tt]he term “([^”\n]{3,40})” (?:means|denotes|refers)\b"),
+    "de-nennt": ("nennt", r"\bnennt (?:man )?(?:die|den|das) ([A-ZÄÖÜ][\p{L}]{2,40})[ .]"),
+    "de-versteht": ("versteht man", r"[Uu]nter (?:der |dem |einer |einem )?([A-ZÄÖÜ][\p{L} -]{2,40}?) versteht man"),
+    "de-bezeichnet": ("bezeichnet man als", r"bezeichnet man als ([A-ZÄÖÜ][\p{L}-]{2,40})"),
+    "de-heißt": ("heißt", r"\bheißt (?:die |der |das )?([A-ZÄÖÜ][\p{L}-]{2,40})[ .,]"),
+    "fr-définir": ("définir", r"\bdéfinir (?:le|la|l’) ?([a-zà-ÿ]{3,40})"),
+    "fr-appelle": ("appelle", r"\b[Oo]n appelle (?:le |la |l’|une? )?([a-zà-ÿ][a-zà-ÿ -]{2,40}?)[ ,.]"),
+    "fr-désigne": ("désigne", r"\bLe terme « ([^»\n]{3,40}) » désigne"),
+    "es-definir": ("definir", r"\bdefinir (?:el|la) ([a-zá-ú]{3,40})"),
+    "es-llama": ("llama", r"\b[Ss]e llama (?:el |la |una? )?([a-zá-úñ]{3,40})"),
+    "es-denomina": ("denomina", r"\b[Ss]e denomina (?:el |la |una? )?([a-zá-úñ]{3,40})"),
+    "es-entiende": ("entiende por", r"\b[Ss]e entiende por (?:el |la )?([a-zá-úñ]{3,40})"),
+    "ru-что": ("что такое", r"что такое ([а-яё][а-яё -]{2,40})[.?,]"),
+    "ru-называется": ("называется", r"называется ([а-яё][а-яё-]{2,40})"),
+    "ru-называют": ("называют", r"называют ([а-яё][а-яё-]{2,40})"),
+    "zh-定义": ("的定义", r"(?:写出|给出|理解)([一-龥]{2,12})的定义"),
+    "zh-称为": ("称为", r"称为([一-龥]{2,12})[。，；]"),
+    "zh-叫做": ("叫做", r"叫做([一-龥]{2,12})[。，；]"),
+    "zh-是指": ("是指", r"(?:^|[。！？\n])([一-龥]{2,12})是指"),
+    "ja-定義": ("の定義", r"(?:では|[。、\n])([ぁ-ヿ一-龥ー]{2,20})の定義"),
+    "ja-とは": ("とは", r"(?:^|[。、\n])([ァ-ヿ一-龥ー]{2,20})とは"),
+    "ja-呼ぶ": ("と呼", r"[をは、]([ァ-ヿ一-龥ー]{2,20})と呼[ぶば]"),
+    "hi-परिभाषा": ("की परिभाषा", r"में ([\p{L}\p{M} ]{3,40}?) की परिभाषा"),
+    "hi-कहते": ("कहते हैं", r"को ([\p{L}\p{M} ]{3,40}?) कहते हैं"),
+    "ar-ذكر": ("ذكر", r"ذكر ([\p{L}\p{M} ]{3,40}?) مع"),
+    "ar-يسمى": ("يسمى", r"يسمى ([\p{L}\p{M}]{3,40})"),
+    "ar-يعرف": ("بأنه", r"يعرف ([\p{L}\p{M} ]{3,40}?) بأنه"),
+    "th-อธิบาย": ("อธิบาย", r"อธิบาย([ก-๙]{3,40}?)ก็พอ"),
+    "th-เรียกว่า": ("เรียกว่า", r"เรียกว่า([ก-๙]{3,40})"),
+}
 
 
 def term_ok(term: Column) -> Column:
@@ -26,10 +55,10 @@ def term_ok(term: Column) -> Column:
 
 def defined_terms(pages: DataFrame) -> DataFrame:
     """page_id, book, page_index, term and key of every definition that the defining phrases find."""
-    found = None
-    for pattern in DEFINING.values():
-        hits = pages.where("text IS NOT NULL").select("page_id", "book", "page_index", F.explode(F.regexp_extract_all("text", F.lit(pattern), 1)).alias("term"))
-        found = hits if found is None else found.unionByName(hits)
+    # one scan; a pattern runs only over texts that hold its fixed part
+    none = F.array().cast("array<string>")
+    every = [F.when(F.contains("text", F.lit(part)), F.regexp_extract_all("text", F.lit(pattern), 1)).otherwise(none) for part, pattern in DEFINING.values()]
+    found = pages.where("text IS NOT NULL").select("page_id", "book", "page_index", F.explode(F.concat(*every)).alias("term"))
     named = found.withColumn("term", tx.one_line(F.col("term"))).where(term_ok(F.col("term")))
     return named.withColumn("key", tx.letters_key(F.col("term")))
 

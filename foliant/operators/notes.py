@@ -11,7 +11,7 @@ from foliant.functions import text as tx
 #: Fields of the note kinds as kind, key, least and most times (0 for any number), largest number of words (0 for any).
 RULES = """
 concept term 1 1 0 | concept definition 1 1 60 | concept plain 0 1 60 | concept example 0 0 60 | concept why 0 0 60 | concept misconception 0 0 80
-formula name 1 1 0 | formula latex 1 1 0 | formula where 0 0 60 | formula holds-when 0 0 60 | formula calc 0 0 0
+formula source 0 0 60 | worked-example calc 0 0 0 | formula name 1 1 0 | formula latex 1 1 0 | formula where 0 0 60 | formula holds-when 0 0 60 | formula calc 0 0 0
 worked-example title 1 1 0 | worked-example problem 1 1 120 | worked-example step 1 0 80 | worked-example result 1 1 60 | worked-example source 0 0 60
 figure title 0 1 0 | figure what 1 1 60 | figure look-for 1 0 60 | figure source 0 0 60
 question type 1 1 0 | question bloom 1 1 0 | question ask 1 1 60 | question answer 1 1 60 | question option a 0 1 40 | question option b 0 1 40

@@ -10,7 +10,7 @@ from foliant.functions import numbers as nb
 from foliant.functions import text as tx
 from foliant.operators import evidence, integrity, inventory, notes, practice, ranking, structure, verification
 from foliant.plans import shapes
-from foliant.session import read_table
+from foliant.session import broadcast_if_small, read_table
 from foliant.sources import sinks
 
 QUERIES: dict = {}
@@ -316,7 +316,7 @@ def term_first_use(spark, sf):
 
 _DEFS = " UNION ALL ".join(
     f"SELECT page_id, book, page_index, trim(regexp_replace(term, '\\s+', ' ', 'g'), ' ') AS term FROM (SELECT page_id, book, page_index, unnest(regexp_extract_all(text, '{p}', 1)) AS term FROM pages WHERE text IS NOT NULL)"
-    for p in inventory.DEFINING.values()
+    for _, p in inventory.DEFINING.values()
 )
 _FIRSTS = (
     f"t AS (SELECT *, regexp_replace(lower(term), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS key FROM ({_DEFS})),"
@@ -467,6 +467,7 @@ planted AS (SELECT check_id, number, changed, regexp_extract(quote, '^([^0-9]*)'
 
 def _planted(spark, sf):
     q, p = read_table(spark, sf, "quote_checks"), read_table(spark, sf, "pages").where("text IS NOT NULL")
+    p = p.join(broadcast_if_small(q.select("book", "page_index").distinct()), ["book", "page_index"], "left_semi")  # cited pages only
     context = p.groupBy("book", "page_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "text"))), lambda x: x["text"]), "\n").alias("page_context"))
     return verification.false_numbers(q.join(context, ["book", "page_index"], "left"), "check_id", "quote", "page_context")
 

@@ -47,13 +47,29 @@ def stable_hash(*cols, seed: int = 0):
     return F.xxhash64(F.lit(seed), *cols)
 
 
-#: Rows up to which a side of a join is broadcast after its size was counted.
-BROADCAST_ROWS = 50_000
+#: Rows and bytes up to which a side of a join is broadcast after both were counted.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 64 << 20
+
+
+def _bytes_of(df: DataFrame):
+    """Bytes of a row: those of texts and nested values, eight for each other value."""
+    size = F.lit(0)
+    for field in df.schema.fields:
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(df[field.name]), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(df[field.name]))), F.lit(0))
+        else:
+            size = size + 8
+    return size
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table with a broadcast hint if a count finds at most so many rows, else as it is (the join then shuffles)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """The table with a broadcast hint if it has at most so many rows and BROADCAST_BYTES, else as it is (the join then shuffles)."""
+    first = df.limit(rows + 1)
+    n, size = first.agg(F.count("*"), F.sum(_bytes_of(first))).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= BROADCAST_BYTES else df
 
 
 def let_workers_import(spark: SparkSession) -> None:

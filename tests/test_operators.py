@@ -280,3 +280,15 @@ def test_sessions_over_midnight(spark):
     df = spark.createDataFrame([("c", t, True) for t in at] + [(None, at[0], False)], "course string, at timestamp_ntz, correct boolean")
     got = sorted((str(r.course), r.answers, r.right, r.first_at) for r in practice.sessions(df, ["course"]).collect())
     assert got == [("None", 1, 0, at[0]), ("c", 1, 1, at[4]), ("c", 4, 4, at[0])]
+
+
+def test_broadcasts_are_bounded_in_rows_and_bytes(spark, monkeypatch):
+    from foliant import session
+
+    df = spark.createDataFrame([(1, "word " * 100, [1, 2]), (2, None, None)], "i int, text string, a array<int>")
+    assert session.broadcast_if_small(df) is not df
+    assert session.broadcast_if_small(df, rows=1) is df
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 400)
+    assert session.broadcast_if_small(df) is df
+    empty = df.where("i > 5")
+    assert session.broadcast_if_small(empty) is not empty
