@@ -219,7 +219,7 @@ def hidden_quotes(checks: DataFrame, pages: DataFrame) -> DataFrame:
     q = checks.select("check_id", "book", "page_index", "quote").where(F.trim(F.regexp_replace("quote", r"\s+", " ")) != "")
     p = pages.select("page_id", "book", "page_index", "text").where("text IS NOT NULL AND text != ''")
     cited = q.select("book", "page_index").distinct()
-    if (few := broadcast_if_small(cited)) is not cited:  # else nearly all pages may be cited, and the join below brings them together
+    if (few := broadcast_if_small(cited, rows=5_000)) is not cited:  # else many pages are cited, and the join below brings them together
         p = p.join(few, ["book", "page_index"], "left_semi")
     pairs = p.join(q, ["book", "page_index"]).where(~F.contains("text", "quote"))
     return pairs.where(_sees(F.col("text"), F.col("quote"))).select("check_id", "page_id")
