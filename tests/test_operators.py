@@ -292,3 +292,32 @@ def test_broadcasts_are_bounded_in_rows_and_bytes(spark, monkeypatch):
     assert session.broadcast_if_small(df) is df
     empty = df.where("i > 5")
     assert session.broadcast_if_small(empty) is not empty
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_many_probes_are_found_without_exploding_the_texts(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    texts = [(i, "".join(rng.choices("ab𝔞", k=rng.randint(0, 400))), rng.choice(["x", "y", None])) for i in range(60)]
+    probes = [(i, (t := rng.choice(texts)[1])[(a := rng.randint(0, max(0, len(t) - 12))) : a + rng.choice([11, 12, 13, 24, 60, 200])], rng.choice(["x", "y", None])) for i in range(300)]
+    want = {(t, p, g) for t, text, g in texts for p, probe, h in probes if g == h and len(probe) >= 12 and probe in text}
+    monkeypatch.setattr(shapes, "AUTOMATON_PROBES", 1)
+    pairs = shapes.contained_pairs(spark.createDataFrame(texts, "t long, key string, g string"), "t", "key", spark.createDataFrame(probes, "p long, probe string, g string"), "p", "probe", group="g")
+    assert "Generate" not in plan_of(pairs)  # no row for each stretch of a text, which took more disk than there is
+    got = [(r.t, r.p, r.g) for r in pairs.collect()]
+    assert len(got) == len(want) and set(got) == want and len(want) > 50
+
+
+def test_quote_status_with_many_places(spark, monkeypatch):
+    pages = pages_of(spark, [(i, "b", i, None, f"page {i} tells of membranes and of ions that pass number {i} at once") for i in range(40)] + [(40, "b", 40, None, " .. ")])
+    checks = quotes(spark, [(i, "b", i, f"ions that pass number {i} at once" if i % 3 else f"tells of membranes and of ions that pass number {39 - i} at") for i in range(40)] + [(40, "b", 40, "tells of membranes and nothing"), (41, "b", 3, "number 3 at once page 4 tells of membranes")])
+    few = sorted((r.check_id, r.status, r.pages) for r in evidence.quote_status(checks, pages).collect())
+    monkeypatch.setattr(shapes, "AUTOMATON_PROBES", 1)
+    monkeypatch.setattr(evidence, "broadcast_if_small", lambda df: df)
+    status = evidence.quote_status(checks, pages)
+    assert sorted((r.check_id, r.status, r.pages) for r in status.collect()) == few
+    assert {s for _, s, _ in few} == {"exact", "wrong-page", "not-found"} and few[41][1] == "exact"
