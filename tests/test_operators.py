@@ -321,3 +321,16 @@ def test_quote_status_with_many_places(spark, monkeypatch):
     status = evidence.quote_status(checks, pages)
     assert sorted((r.check_id, r.status, r.pages) for r in status.collect()) == few
     assert {s for _, s, _ in few} == {"exact", "wrong-page", "not-found"} and few[41][1] == "exact"
+
+
+def test_fuzzy_quotes_key_cited_pages_only(spark, monkeypatch):
+    pages = pages_of(spark, [(i, "b", i, None, f"page {i} tells of membranes and of ions that pass number {i} at once") for i in range(20)] + [(20, "b", 3, None, "tells of membrames and of ions"), (21, "b", 4, None, None)])
+    checks = quotes(spark, [(1, "b", 3, "tells of membrames and of ionz"), (2, "b", 4, "tells of nembranes and of ions"), (3, "b", 5, "page 5 tells of membranes"), (4, "b", 6, "zzzz yyyy xxxx wwww vvvv")])
+    few = sorted(tuple(r) for r in evidence.fuzzy_quotes(checks, pages, evidence.quote_status(checks, pages)).collect())
+    assert [(i, a) for i, _, a in few] == [(1, True), (2, True), (4, False)] and few[0][1] == few[1][1] == 0.96
+    monkeypatch.setattr(shapes, "AUTOMATON_PROBES", 1)
+    monkeypatch.setattr(evidence, "broadcast_if_small", lambda df: df)
+    many = evidence.fuzzy_quotes(checks, pages, evidence.quote_status(checks, pages))
+    plan = plan_of(many)
+    assert "Generate" not in plan and "ArrowEvalPython" not in plan[plan.index("Join") :]
+    assert sorted(tuple(r) for r in many.collect()) == few
