@@ -334,3 +334,37 @@ def test_fuzzy_quotes_key_cited_pages_only(spark, monkeypatch):
     plan = plan_of(many)
     assert "Generate" not in plan and "ArrowEvalPython" not in plan[plan.index("Join") :]
     assert sorted(tuple(r) for r in many.collect()) == few
+
+
+def test_ranking_shuffles_no_words(spark, monkeypatch):
+    import math
+    import random
+
+    rng = random.Random(7)
+    lexicon = [f"w{i:02d}" for i in range(40)]
+    texts = [(i // 2 if i < 20 else i, " ".join(rng.choices(lexicon, k=rng.randint(0, 12)))) for i in range(300)] + [(None, "w01 w02"), (None, "w01"), (900, None)]
+    asked = [(i, " ".join(rng.choices(lexicon, k=rng.randint(1, 5)))) for i in range(30)] + [(30, "w01"), (31, "none here"), (32, None), (33, ""), (7, "w03 w04")]
+    tf: dict = {}
+    for i, text in texts:
+        for w in (text or "").split():
+            tf[i, w] = tf.get((i, w), 0) + 1
+    df = {w: sum(1 for _, v in tf if v == w) for w in lexicon}
+    n = sum(1 for _, text in texts if text is not None)
+    want = []
+    for q in {q for q, _ in asked}:
+        words = {w for i, text in asked if i == q for w in (text or "").split()}
+        scores: dict = {}
+        for (i, w), count in sorted(tf.items(), key=str):
+            if w in words:
+                scores[i] = scores.get(i, 0) + (1 + math.log(count)) * math.log(1 + n / (1 + df[w]))
+        best = sorted(((round(s, 6), i) for i, s in scores.items()), key=lambda x: (-x[0], x[1] is None, x[1] or 0))[:5]
+        want += [(q, i, s, r) for r, (s, i) in enumerate(best, 1)]
+    pages = spark.createDataFrame(texts, "page_id long, text string").repartition(3)
+    queries = spark.createDataFrame(asked, "q long, text string")
+    for most in (16_384, 50):
+        monkeypatch.setattr(evidence, "RANKED_PAGES", most)
+        ranked = evidence.rank_pages(queries, "q", "text", pages)
+        assert "Generate" not in plan_of(ranked)  # neither words of pages nor pairs that share one are rows
+        got = [(r.q, r.page_id, r.score, r["rank"]) for r in ranked.collect()]
+        assert sorted(got, key=str) == sorted(want, key=str) and len(got) > 140
+    assert evidence.rank_pages(queries.limit(0), "q", "text", pages).count() == evidence.rank_pages(queries, "q", "text", pages.limit(0)).count() == 0
